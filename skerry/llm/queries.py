@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from . import knn, neardup, pack, split, tokens
+from . import knn, langid, mojibake, neardup, pack, spam, split, tokens
 
 QUERIES = {
     "p2_found": split.p2_found,
     "p2_pieces": split.p2_pieces,
     "p3_found": neardup.p3_found,
     "p3_groups": neardup.p3_groups,
+    "p4_found": mojibake.p4_found,
+    "p4_repaired": mojibake.p4_repaired,
     "p5_found": knn.p5_found,
     "p5_knn": knn.p5_knn,
+    "p6_found": langid.p6_found,
+    "p6_languages": langid.p6_languages,
+    "p6_segments": langid.p6_segments,
     "p7_ids": tokens.p7_ids,
     "p8_pack": pack.p8_pack,
+    "p9_found": spam.p9_found,
+    "p9_share": spam.p9_share,
 }
 
 ORACLES: dict[str, str] = {
