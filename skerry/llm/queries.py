@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import knn, langid, mojibake, neardup, pack, spam, split, tokens
+from . import knn, langid, mojibake, neardup, pack, scans, spam, split, tokens
 
 QUERIES = {
+    "p1_found": scans.p1_found,
+    "p1_kinds": scans.p1_kinds,
+    "p1_repaired": scans.p1_repaired,
     "p2_found": split.p2_found,
     "p2_pieces": split.p2_pieces,
     "p3_found": neardup.p3_found,
