@@ -21,7 +21,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,35 +105,42 @@ def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, **cols: str) -
         h = v.shape[1] // 2
         return [((c * c).sum(1)[None, :] - 2 * x @ c.T) for x, c in ((v[:, :h], a), (v[:, h:], b))]
 
-    def blocks(pdf):
-        for (m, d), part in pdf.groupby([pdf.model, pdf.vec.map(len)], sort=False):
+    def blocks(batch):
+        """Rows of one model and dimension, with their vectors."""
+        col = batch.column("vec")
+        dims, names = np.diff(col.offsets.to_numpy()), np.array(batch.column("model").to_pylist())
+        flat, at = col.flatten().to_numpy(), np.cumsum(dims) - dims
+        for m, d in sorted(set(zip(names.tolist(), dims.tolist()))):
             if (m, d) in given.value:
-                yield m, d, part, np.stack(part.vec.to_numpy())
+                rows = np.flatnonzero((names == m) & (dims == d))
+                yield m, d, rows, flat[at[rows][:, None] + np.arange(d)]
 
-    def assign(it):
-        for pdf in it:
-            for m, d, part, v in blocks(pdf):
-                da, db = halves(m, v)
-                yield pd.DataFrame({"model": m, "dim": d, "cell": da.argmin(1) * db.shape[1] + db.argmin(1), "id": part.id.to_numpy(), "vec": part.vec.to_numpy(), "keys": part["keys"].to_numpy()})
+    def assign(batches):
+        for b in batches:
+            for _, d, rows, v in blocks(b):
+                da, db = halves(_, v)
+                cell = (da.argmin(1) * db.shape[1] + db.argmin(1)).astype(np.int32)
+                t = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([t.column("model"), pa.array(np.full(len(rows), d, np.int32)), pa.array(cell), t.column("id"), t.column("vec"), t.column("keys")], names=["model", "dim", "cell", "id", "vec", "keys"])
 
-    placed = cut(entries.mapInPandas(assign, "model string, dim int, cell int, id bigint, vec array<float>, keys array<string>"))
+    placed = cut(entries.mapInArrow(assign, "model string, dim int, cell int, id bigint, vec array<float>, keys array<string>"))
     sizes = {}
     for r in placed.groupBy("model", "dim", "cell").agg(F.count("*").alias("n")).collect():  # at most 256 * 256 cells a model
         a, b = books[(r.model, r.dim)]
         sizes.setdefault((r.model, r.dim), np.zeros(len(a) * len(b), np.int64))[r.cell] = r.n
     load = spark.sparkContext.broadcast(sizes)
 
-    def probe(it):
-        for pdf in it:
-            for m, d, part, v in blocks(pdf):
+    def probe(batches):
+        for b in batches:
+            for m, d, rows, v in blocks(b):
                 da, db = halves(m, v)
                 n = load.value[(m, d)]
-                for lo in range(0, len(part), 500):
+                for lo in range(0, len(rows), 500):
                     cells = [walk(x, y, n, ENOUGH) for x, y in zip(da[lo : lo + 500], db[lo : lo + 500])]
-                    at = np.repeat(np.arange(lo, lo + len(cells)), [len(c) for c in cells])
-                    yield pd.DataFrame({"model": m, "dim": d, "cell": np.concatenate(cells).astype(np.int32), "qid": part.id.to_numpy()[at], "qvec": part.vec.to_numpy()[at]})
+                    t = b.take(pa.array(np.repeat(rows[lo : lo + 500], [len(c) for c in cells])))
+                    yield pa.RecordBatch.from_arrays([t.column("model"), pa.array(np.full(t.num_rows, d, np.int32)), pa.array(np.concatenate(cells).astype(np.int32)), t.column("id"), t.column("vec")], names=["model", "dim", "cell", "qid", "qvec"])
 
-    queries = placed.select("model", "vec", "id").mapInPandas(probe, "model string, dim int, cell int, qid bigint, qvec array<float>")
+    queries = placed.select("model", "vec", "id").mapInArrow(probe, "model string, dim int, cell int, qid bigint, qvec array<float>")
     # Blocks of a cell: entries are salted into blocks, a query visits each block of its cells.
     nb = {(m, d, int(c)): int(-(-n[c] // BLOCK)) for (m, d), n in sizes.items() for c in np.flatnonzero(n > BLOCK)}
     if nb:
@@ -145,25 +151,29 @@ def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, **cols: str) -
         members, queries = placed.withColumn("block", F.lit(0)), queries.withColumn("block", F.lit(0))
     floor = -2.0 if min_sim is None else min_sim - 1e-6
 
-    def rank(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"model": pd.Series(dtype=str), "qid": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "sims": pd.Series(dtype=object)})
-        if not len(q) or not len(x):
-            return empty
-        ids, v, outs = x.id.to_numpy(), np.stack(x.vec.to_numpy()), []
-        for lo in range(0, len(q), 1000):
-            part = q.iloc[lo : lo + 1000]
-            s = np.stack(part.qvec.to_numpy()) @ v.T
-            top = np.argpartition(-s, k, axis=1)[:, : k + 1] if s.shape[1] > k + 1 else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            best = np.take_along_axis(s, top, 1)
-            got, sim = ids[top], best
-            ok = (best >= floor) & (got != part.qid.to_numpy()[:, None])
-            rows = np.flatnonzero(ok.any(1))
-            outs.append(pd.DataFrame({"model": part.model.to_numpy()[rows], "qid": part.qid.to_numpy()[rows], "ids": [got[r][ok[r]] for r in rows], "sims": [sim[r][ok[r]] for r in rows]}))
-        return pd.concat(outs) if outs else empty
+    def rank(q: pa.Table, x: pa.Table) -> pa.Table:
+        def matrix(t, col):
+            c = t.column(col).combine_chunks()
+            return c.flatten().to_numpy().reshape(len(c), -1)
+
+        outs = []
+        if q.num_rows and x.num_rows:
+            ids, v = x.column("id").to_numpy(), matrix(x, "vec")
+            for lo in range(0, q.num_rows, 1000):
+                part = q.slice(lo, 1000)
+                qid = part.column("qid").to_numpy()
+                s = matrix(part, "qvec") @ v.T
+                top = np.argpartition(-s, k, axis=1)[:, : k + 1] if s.shape[1] > k + 1 else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+                best = np.take_along_axis(s, top, 1)
+                got = ids[top]
+                r, c = np.nonzero((best >= floor) & (got != qid[:, None]))
+                outs.append((qid[r], got[r, c], best[r, c]))
+        cols = [np.concatenate([o[i] for o in outs]) if outs else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float32))]
+        name = x.column("model")[0].as_py() if x.num_rows else ""
+        return pa.table({"model": pa.array([name] * len(cols[0]), pa.string()), "qid": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2], pa.float32())})
 
     by = ["model", "dim", "cell", "block"]
-    met = queries.groupBy(*by).cogroup(members.select(*by, "id", "vec").groupBy(*by)).applyInPandas(rank, "model string, qid bigint, ids array<bigint>, sims array<float>")
-    near = met.select("model", "qid", F.explode(F.arrays_zip("ids", "sims")).alias("z")).select("model", "qid", F.col("z.ids").alias("id"), F.col("z.sims").alias("sim"))
+    near = queries.groupBy(*by).cogroup(members.select(*by, "id", "vec").groupBy(*by)).applyInArrow(rank, "model string, qid bigint, id bigint, sim float")
     w = Window.partitionBy("model", "qid").orderBy(F.desc("sim"), "id")
     near = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
     keys = placed.select("model", "id", "keys")
