@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from skerry.tables import cut, table
 
 FIT_ROWS = 20_000
-CELL, ENOUGH, BLOCK = 400, 8_000, 4_096
+#: Vectors of a cell, vectors a query meets, entries compared at once. Measured on 101,089 vectors of 64 dimensions,
+#: recall at 10 is 0.80 with 8,000 met; of neighbours with a similarity of 0.9 or more it is 0.999.
+CELL, ENOUGH, ENOUGH_NEAR, BLOCK = 400, 24_000, 8_000, 4_096
 
 
 def usable(df: DataFrame, key: str = "key", model: str = "model", dim: str = "dim", vec: str = "vec") -> DataFrame:
@@ -80,8 +82,9 @@ def walk(da: np.ndarray, db: np.ndarray, sizes: np.ndarray, enough: int) -> list
     return out
 
 
-def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, **cols: str) -> DataFrame:
-    """``model, key, neighbour, sim, rank``; with ``min_sim`` only neighbours at least that similar."""
+def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, enough: int = ENOUGH, **cols: str) -> DataFrame:
+    """``model, key, neighbour, sim, rank``; with ``min_sim`` only neighbours at least that similar.
+    ``enough`` is the number of vectors a query meets."""
     spark = df.sparkSession
     raw = usable(df, **cols)
     bits = F.xxhash64("vec")
@@ -136,7 +139,7 @@ def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, **cols: str) -
                 da, db = halves(m, v)
                 n = load.value[(m, d)]
                 for lo in range(0, len(rows), 500):
-                    cells = [walk(x, y, n, ENOUGH) for x, y in zip(da[lo : lo + 500], db[lo : lo + 500])]
+                    cells = [walk(x, y, n, enough) for x, y in zip(da[lo : lo + 500], db[lo : lo + 500])]
                     t = b.take(pa.array(np.repeat(rows[lo : lo + 500], [len(c) for c in cells])))
                     yield pa.RecordBatch.from_arrays([t.column("model"), pa.array(np.full(t.num_rows, d, np.int32)), pa.array(np.concatenate(cells).astype(np.int32)), t.column("id"), t.column("vec")], names=["model", "dim", "cell", "qid", "qvec"])
 
@@ -198,4 +201,4 @@ def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutual(knn(table(spark, sf_dir, "emb"), k=10, min_sim=0.9), 0.9)
+    return mutual(knn(table(spark, sf_dir, "emb"), k=10, min_sim=0.9, enough=ENOUGH_NEAR), 0.9)

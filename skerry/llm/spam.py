@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ STRETCH, LOW, LIMIT, REPEAT, FEW = 160, 0.003, 0.8, 0.15, 0.42
 #: A word, or a digit or a Chinese character, which part their neighbours (Chinese words aren't set apart).
 TOKEN = re.compile(r"[^\W\d_㐀-鿿]{2,}|[㐀-鿿]|\d")
 LINK = re.compile(r"(?:\[[^\]\n]{0,80}\]\()?(?:<a href=\"|\[url=)?(?:https?://|www\.)\S*|(?<!\S)(?!\S*\.(?:txt|md|pdf|docx?|xlsx?|pptx?|csv|py|html?|eml|tex|log|tif)\b)[a-z0-9-]+(?:\.[a-z0-9-]+)+(?:/\S*)?(?!\S)", re.I)
+HINT = re.compile(r"://|www\.|[A-Za-z0-9-]\.[A-Za-z]{2}")
 TAG = re.compile(r"#\w+")
 
 
@@ -49,7 +51,7 @@ class Counts:
     def __init__(self, docs: int, vocab: list[tuple], pairs: list[tuple]):
         """``vocab``: word, left and right count of pairs; ``pairs``: key of two word numbers, count."""
         self.docs = max(1, docs)
-        self.ids = {w: i for i, (w, *_) in enumerate(vocab)}
+        self.ids = {w: i for i, (w, *_) in enumerate(vocab)} | {str(d): -2 for d in range(10)}
         self.left = np.array([x[1] for x in vocab] or [1], float)
         self.right = np.array([x[2] for x in vocab] or [1], float)
         keys = np.array([k for k, _ in pairs], np.int64)
@@ -58,10 +60,15 @@ class Counts:
         self.total = max(1.0, float(self.left.sum()))
         self.base = len(vocab) + 1
 
-    def pairs(self, toks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of neighbouring kept words, and the number of the token each begins at."""
-        x = np.fromiter((self.ids.get(w, -1) for w in toks), np.int64, len(toks))
-        ok = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0)) if len(x) > 1 else np.zeros(0, np.int64)
+    def numbers(self, toks: list[str]) -> np.ndarray:
+        """Numbers of the words; -1 for one that isn't kept, -2 for a digit."""
+        get = self.ids.get
+        return np.array([get(w, -1) for w in toks], np.int64)
+
+    def pairs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of neighbouring kept words, and the place of the first word of each."""
+        kept = x >= 0
+        ok = np.flatnonzero(kept[:-1] & kept[1:])
         return x[ok] * self.base + x[ok + 1], ok
 
     def judge(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +102,19 @@ def share(text: str, c: Counts) -> float:
     total = sizes.sum()
     if not total:
         return 0.0
-    ms = list(TOKEN.finditer(text))
-    toks = [m[0].lower() for m in ms]
-    keys, first = c.pairs(toks)
+    low = text.lower()
+    if len(low) != len(text):  # a capital of two small letters would move the places
+        low = "".join(x if len(x := ch.lower()) == 1 else ch for ch in text)
+    parts = [TOKEN.findall(low, a, b) for a, b in spans]
+    x = c.numbers(list(chain.from_iterable(parts)))
+    of = np.repeat(np.arange(len(spans)), [len(p) for p in parts])
+    keys, first = c.pairs(x)
     coherence, seldom = c.judge(keys)
-    starts = np.array([a for a, _ in spans])
-    line = np.searchsorted(starts, np.array([ms[i].start() for i in first], np.int64), side="right") - 1 if len(keys) else np.zeros(0, np.int64)
+    line = of[first]
     n = np.bincount(line, minlength=len(spans)).astype(float)
     s = np.bincount(line, coherence, minlength=len(spans))
     r = np.zeros(len(spans))
-    told = np.array([m.start() for m in ms if not m[0].isdigit()], np.int64)
-    size = np.bincount(np.searchsorted(starts, told, side="right") - 1, minlength=len(spans)) if len(told) else r
+    size = np.bincount(of[x != -2], minlength=len(spans))
     if len(keys) >= 20:
         _, at, inv, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         heavy = (times >= 6) & (times >= REPEAT * len(keys)) & seldom[at]
@@ -123,7 +132,7 @@ def share(text: str, c: Counts) -> float:
         if not bad[i] and b > a:
             part = text[a:b]
             if "." in part or "#" in part:
-                links = sum(len(m[0]) for m in LINK.finditer(part))
+                links = sum(len(m[0]) for m in LINK.finditer(part)) if HINT.search(part) else 0
                 tags = TAG.findall(part)
                 bad[i] = links > 0.4 * (b - a) or (many and sum(map(len, tags)) > 0.5 * (b - a))
     # A stretch without pairs between two stuffed ones belongs to them.
@@ -159,7 +168,7 @@ def corpus_counts(texts: DataFrame) -> tuple[int, list, list]:
     def pair_docs(batches):
         c = Counts(docs, [(w, 0, 0) for w in given.value], [])
         for b in batches:
-            held = [np.unique(c.pairs(words(t))[0]) for t in b.column(0).to_pylist()]
+            held = [np.unique(c.pairs(c.numbers(words(t)))[0]) for t in b.column(0).to_pylist()]
             k, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["k", "n"])
 
