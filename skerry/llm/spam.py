@@ -43,10 +43,6 @@ def words(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def is_word(token: str) -> bool:
-    return len(token) > 1
-
-
 class Counts:
     def __init__(self, docs: int, vocab: list[tuple], pairs: list[tuple]):
         """``vocab``: word, left and right count of pairs; ``pairs``: key of two word numbers, count."""
@@ -84,62 +80,79 @@ class Counts:
         return npmi + np.maximum(n, 0) / np.minimum(la, rb), n < LOW * self.docs
 
 
-def share(text: str, c: Counts) -> float:
-    """Share of the characters that lie in stuffed stretches."""
-    spans = []
-    at = 0
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Lines, and parts of about ``STRETCH`` characters of long ones."""
+    spans, at = [], 0
     for line in text.split("\n"):
         end = at + len(line)
         while end - at > 2 * STRETCH:
-            cutat = text.find(" ", at + STRETCH, end)
-            if cutat < 0:
+            mid = text.find(" ", at + STRETCH, end)
+            if mid < 0:
                 break
-            spans.append((at, cutat))
-            at = cutat + 1
+            spans.append((at, mid))
+            at = mid + 1
         spans.append((at, end))
         at = end + 1
+    return spans
+
+
+def shares(texts: list[str], c: Counts) -> np.ndarray:
+    """Share of the characters of each text that lie in stuffed stretches; all texts are judged in one go."""
+    gap = (0, 0)  # two empty stretches between texts keep neighbours apart
+    spans, parts, owner = [], [], []
+    for d, text in enumerate(texts):
+        low = text.lower()
+        if len(low) != len(text):  # a capital of two small letters would move the places
+            low = "".join(x if len(x := ch.lower()) == 1 else ch for ch in text)
+        mine = stretches(text)
+        spans += [*mine, gap, gap]
+        parts += [TOKEN.findall(low, a, b) for a, b in mine]
+        parts += [["\n"], []]
+        owner += [d] * (len(mine) + 2)
+    owner = np.array(owner, np.int64)
     sizes = np.array([b - a for a, b in spans], float)
-    total = sizes.sum()
-    if not total:
-        return 0.0
-    low = text.lower()
-    if len(low) != len(text):  # a capital of two small letters would move the places
-        low = "".join(x if len(x := ch.lower()) == 1 else ch for ch in text)
-    parts = [TOKEN.findall(low, a, b) for a, b in spans]
+    m = len(spans)
     x = c.numbers(list(chain.from_iterable(parts)))
-    of = np.repeat(np.arange(len(spans)), [len(p) for p in parts])
+    of = np.repeat(np.arange(m), [len(p) for p in parts])
     keys, first = c.pairs(x)
     coherence, seldom = c.judge(keys)
     line = of[first]
-    n = np.bincount(line, minlength=len(spans)).astype(float)
-    s = np.bincount(line, coherence, minlength=len(spans))
-    r = np.zeros(len(spans))
-    size = np.bincount(of[x != -2], minlength=len(spans))
-    if len(keys) >= 20:
-        _, at, inv, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        heavy = (times >= 6) & (times >= REPEAT * len(keys)) & seldom[at]
-        most = np.argsort(-times, kind="stable")[:4]
-        if times[most].sum() >= FEW * len(keys):
-            heavy[most] = times[most] >= 6
-        if heavy.any():
-            r = np.bincount(line, heavy[inv], minlength=len(spans))
+    n = np.bincount(line, minlength=m).astype(float)
+    s = np.bincount(line, coherence, minlength=m)
+    size = np.bincount(of[x != -2], minlength=m)
+    # Collocations repeated too often in a text.
+    doc = owner[line]
+    total = np.bincount(doc, minlength=len(texts))
+    both = doc * c.base**2 + keys
+    _, at, inv, times = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+    whose = doc[at]
+    heavy = (times >= 6) & (times >= REPEAT * total[whose]) & seldom[at]
+    order = np.lexsort((-times, whose))
+    rank = np.arange(len(order)) - np.searchsorted(whose[order], whose[order])
+    most = order[rank < 4]
+    few = np.bincount(whose[most], times[most], minlength=len(texts)) >= FEW * np.maximum(total, 1)
+    heavy[most[few[whose[most]]]] = True
+    heavy &= (times >= 6) & (total[whose] >= 20)
+    r = np.bincount(line, heavy[inv], minlength=m)
     # Neighbouring lines count too, less with distance, so that a short line isn't judged by a word or two.
     nn, ss = (np.convolve(v, (0.25, 0.5, 1, 0.5, 0.25))[2:-2] for v in (n, s))
     bad = (nn >= 3) & (n > 0) & (n >= 0.2 * size) & (ss < LIMIT * nn)
     bad |= (n > 0) & (r >= 0.12 * n) & (r > 0)
-    many = text.count("#") >= 5
-    for i, (a, b) in enumerate(spans):
-        if not bad[i] and b > a:
-            part = text[a:b]
-            if "." in part or "#" in part:
-                links = sum(len(m[0]) for m in LINK.finditer(part)) if HINT.search(part) else 0
-                tags = TAG.findall(part)
-                bad[i] = links > 0.4 * (b - a) or (many and sum(map(len, tags)) > 0.5 * (b - a))
+    begin = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for d, text in enumerate(texts):
+        tagged = text.count("#") >= 5
+        linked = HINT.search(text) is not None
+        if tagged or linked:
+            for i in range(begin[d], begin[d + 1] - 2):
+                a, b = spans[i]
+                if not bad[i] and b > a:
+                    part = text[a:b]
+                    bad[i] = linked and sum(len(y[0]) for y in LINK.finditer(part)) > 0.4 * (b - a) or tagged and sum(map(len, TAG.findall(part))) > 0.5 * (b - a)
     # A stretch without pairs between two stuffed ones belongs to them.
-    for i in range(1, len(spans) - 1):
-        if n[i] == 0 and bad[i - 1] and bad[i + 1]:
-            bad[i] = True
-    return float(sizes[bad].sum() / total)
+    for i in np.flatnonzero((n[1:-1] == 0) & bad[2:]) + 1:
+        bad[i] |= bad[i - 1]
+    chars = np.bincount(owner, sizes, minlength=len(texts))
+    return np.bincount(owner, sizes * bad, minlength=len(texts)) / np.maximum(chars, 1)
 
 
 def _sum(rows: DataFrame, run, key: str, kind: str) -> DataFrame:
@@ -154,7 +167,7 @@ def corpus_counts(texts: DataFrame) -> tuple[int, list, list]:
         n: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                n.update({w for w in words(t) if is_word(w)})
+                n.update(set(words(t)))
             if len(n) > 300_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], names=["w", "n"])
                 n.clear()
@@ -162,14 +175,16 @@ def corpus_counts(texts: DataFrame) -> tuple[int, list, list]:
             yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], names=["w", "n"])
 
     floor = max(3, int(np.ceil(WORD_DF * docs)))
-    vocab = sorted(r.w for r in _sum(texts, word_docs, "w", "string").filter(F.col("n") >= floor).select("w").collect())
+    vocab = sorted(r.w for r in _sum(texts, word_docs, "w", "string").filter((F.col("n") >= floor) & (F.length("w") > 1)).select("w").collect())
     given = texts.sparkSession.sparkContext.broadcast(vocab)
 
     def pair_docs(batches):
         c = Counts(docs, [(w, 0, 0) for w in given.value], [])
         for b in batches:
-            held = [np.unique(c.pairs(c.numbers(words(t)))[0]) for t in b.column(0).to_pylist()]
-            k, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            toks = [[*words(t), "\n"] for t in b.column(0).to_pylist()]
+            keys, first = c.pairs(c.numbers(list(chain.from_iterable(toks))))
+            doc = np.repeat(np.arange(len(toks)), [len(t) for t in toks])[first]
+            k, n = np.unique(np.unique(doc * c.base**2 + keys) % c.base**2, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["k", "n"])
 
     pairs = cut(_sum(texts, pair_docs, "k", "bigint"))
@@ -189,7 +204,8 @@ def stuffed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches):
         c = Counts(*given.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([share(t, c) for t in b.column(1).to_pylist()], pa.float64())], names=[id_col, "share"])
+            texts = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([shares(texts[i : i + 1000], c) for i in range(0, len(texts), 1000)]), pa.float64())], names=[id_col, "share"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, share double")
 
