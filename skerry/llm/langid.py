@@ -33,7 +33,8 @@ from . import mojibake
 BITS, DIM, FIT_ROWS = 15, 1 << 16, 20_000
 TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+|[.!?…]+(?=[\"”’»)\]]*(?:\s|$))|[。！？]+|\n+")
 END, LINE = 1, 2  # kinds of breaks: sentence end, line end
-MIN_WORDS, MIN_CJK = 6, 8  # words in small letters (or all in capitals), Chinese characters, of a full sentence
+#: Of a full sentence: words, of which in small letters (or all in capitals) and no single letters; Chinese characters.
+MIN_WORDS, MIN_SMALL, MIN_CJK = 6, 4, 8
 #: A phrase in quotation marks without a sentence end: words named within a sentence, whatever their language.
 QUOTED = re.compile(r"[\"“„«‹‘][^\"“”„«»‹›‘.!?。！？\n]{1,80}[\"”“»›’]")
 SUSPECT = re.compile(r"[�\x80-\x84\x86-\x9f]|[ÃÂâÐÑ][^\sa-zA-Z,.]|[À-ÿ]{3,}|[─-╿]|[ЂЃЉЊЌЋЏђѓљњќћџЎў]|[a-z][А-я]|[А-я][a-z]|[а-я][А-Я]|[-]|[銆鐨涓鏄]")
@@ -72,7 +73,7 @@ class Model:
                 self.w[:, b] = np.log(one.mean(0) / none.mean(0))
         self.ids: dict[str, int] = {}
         self.vec = np.zeros((1 << 14, BITS), np.float32)
-        self.info = np.zeros((1 << 14, 5), np.float32)  # n-grams, small, capital, Chinese, kind of break
+        self.info = np.zeros((1 << 14, 6), np.float32)  # n-grams, small, capital, Chinese, words, kind of break
 
     def add(self, tok: str) -> int:
         if len(self.ids) >= 400_000:
@@ -88,9 +89,9 @@ class Model:
             g = grams(tok.lower()[:64])
             self.vec[i] = self.w[g].sum(0)
             cjk = "㐀" <= ch <= "鿿"
-            self.info[i] = (len(g), ch.islower() or (not ch.isupper() and not cjk), tok.isupper(), cjk, 0)
+            self.info[i] = (len(g), len(tok) > 1 and not ch.isupper() and not cjk, len(tok) > 1 and tok.isupper(), cjk, not cjk, 0)
         else:
-            self.info[i] = (0, 0, 0, 0, LINE if ch == "\n" else END)
+            self.info[i] = (0, 0, 0, 0, 0, LINE if ch == "\n" else END)
         return i
 
     def segments(self, texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -108,9 +109,9 @@ class Model:
         doc = np.repeat(np.arange(len(texts)), lens)
         cut = np.zeros(n, bool)
         cut[0] = True
-        cut[1:] = (info[:-1, 4] > 0) | (doc[1:] != doc[:-1])
+        cut[1:] = (info[:-1, 5] > 0) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(cut)
-        s = np.add.reduceat(info[:, :4], at)
+        s = np.add.reduceat(info[:, :5], at)
         m = np.add.reduceat(self.vec[arr], at) / np.maximum(s[:, :1], 1)
         last = np.append(at[1:], n) - 1
         loss = np.logaddexp(0, -12 * m[:, None, :] * self.code[None]).sum(2)
@@ -118,7 +119,7 @@ class Model:
         lang = order[:, 0]
         p = np.exp(loss.min(1, keepdims=True) - loss)
         conf = 1 / p.sum(1)
-        full = (info[last, 4] == END) & ((s[:, 1] >= MIN_WORDS) | (s[:, 2] >= MIN_WORDS + 2) | (s[:, 3] >= MIN_CJK))
+        full = (info[last, 5] == END) & ((s[:, 4] >= MIN_WORDS) & ((s[:, 1] >= MIN_SMALL) | (s[:, 2] >= MIN_WORDS)) | (s[:, 3] >= MIN_CJK))
         conf[s[:, 0] == 0] = 0
         return doc[at], at, last, lang, conf, full
 

@@ -120,6 +120,7 @@ def shares(texts: list[str], c: Counts) -> np.ndarray:
     n = np.bincount(line, minlength=m).astype(float)
     s = np.bincount(line, coherence, minlength=m)
     size = np.bincount(of[x != -2], minlength=m)
+    digits = np.bincount(of[x == -2], minlength=m)
     # Collocations repeated too often in a text.
     doc = owner[line]
     total = np.bincount(doc, minlength=len(texts))
@@ -137,7 +138,8 @@ def shares(texts: list[str], c: Counts) -> np.ndarray:
     # Neighbouring lines count too, less with distance, so that a short line isn't judged by a word or two.
     nn, ss = (np.convolve(v, (0.25, 0.5, 1, 0.5, 0.25))[2:-2] for v in (n, s))
     bad = (nn >= 3) & (n > 0) & (n >= 0.2 * size) & (ss < LIMIT * nn)
-    bad |= (n > 0) & (r >= 0.12 * n) & (r > 0)
+    # Lines that differ by their numbers, as in logs, aren't one phrase over and over.
+    bad |= (n > 0) & (r >= 0.12 * n) & (r > 0) & (digits < 0.5 * size)
     begin = np.searchsorted(owner, np.arange(len(texts) + 1))
     for d, text in enumerate(texts):
         tagged = text.count("#") >= 5
