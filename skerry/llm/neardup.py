@@ -156,7 +156,9 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int, min_wor
     )
     cand = cut(cand)
     used = cand.select(*(F.col("a" + c).alias(c) for c in CLASS)).union(cand.select(*(F.col("b" + c).alias(c) for c in CLASS))).distinct()
+    used = cut(used)
     ids = members.select("id", *CLASS).join(small(used), list(CLASS)).groupBy(*CLASS).agg(F.min("id").alias("id"))
+    ids = cut(ids)
     texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
     texts = texts.join(small(ids), "id").dropDuplicates([*CLASS])
     both = cand.join(_side(texts, "a", "t"), ["a" + c for c in CLASS]).join(_side(texts, "b", "t"), ["b" + c for c in CLASS])

@@ -49,7 +49,7 @@ HEADING = re.compile(r"\d+\.(?:\d+\.?)* ")
 CONFUSED = [
     ("c", "e"), ("0", "o"), ("1", "l"), ("l", "1"), ("1", "i"), ("5", "s"), ("8", "b"), ("9", "g"), ("6", "b"), ("b", "h"), ("h", "b"), ("f", "t"), ("t", "f"), ("ſ", "s"), ("í", "i"), ("á", "a"),
     ("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"), ("ri", "n"), ("n", "ri"), ("iii", "m"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("fi", "ﬁ"), ("li", "h"), ("nn", "m"), ("l", "i"), ("i", "l"), ("e", "c"),
-    ("class", "dass"), ("n", "н"), ("a", "а"), ("o", "о"), ("e", "е"), ("c", "с"), ("p", "р"), ("x", "х"), ("y", "у"), ("п", "н"), ("н", "п"), ("щ", "ш"), ("ш", "щ"), ("б", "6"), ("6", "б"), ("0", "о"), ("3", "з"), ("и", "н"), ("н", "и"), ("ь", "ъ"), ("l", "t"), ("g", "9"), ("u", "n"), ("n", "u"), ("v", "y"), ("ó", "o"), ("é", "e"), ("ú", "u"), ("à", "a"), ("è", "e"),
+    ("class", "dass"), ("n", "н"), ("a", "а"), ("o", "о"), ("e", "е"), ("c", "с"), ("p", "р"), ("x", "х"), ("y", "у"), ("п", "н"), ("н", "п"), ("щ", "ш"), ("ш", "щ"), ("б", "6"), ("6", "б"), ("0", "о"), ("3", "з"), ("и", "н"), ("н", "и"), ("ь", "ъ"), ("l", "t"), ("g", "9"), ("u", "n"), ("n", "u"), ("v", "y"), ("ó", "o"), ("é", "e"), ("ú", "u"),
 ]
 COST = {x: 0.4 for x in CONFUSED}
 BY_READ: dict[str, list[str]] = defaultdict(list)
@@ -154,7 +154,9 @@ class Lexicon:
         return v if its >= 20 * max(1, ctx(w)) and self.n[v] >= 50 * mine else None
 
 
-_WORDISH = re.compile(r"[^\W_][\w'’.§~^¦*•|°\\<>#-]*[^\W_]|[^\W_]")
+#: A capital in the middle of small letters: a wrong encoding rather than a misread sign.
+MIXED = re.compile(r"[a-zß-öø-ÿ][À-ÖØ-Þ]")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
 def bare(tok: str) -> str:
@@ -253,7 +255,7 @@ def repair_text(text: str, lex: Lexicon) -> tuple[str, set[str]]:
             words[i], words[i + 1] = w + words[i + 1], ""
             skip = i + 1
             continue
-        if b.isdigit() or re.fullmatch(r"[a-zа-я]{2}-\d+[a-f]?", b):
+        if MIXED.search(core) or b.isdigit() or re.fullmatch(r"[a-zа-я]{2}-\d+[a-f]?", b):
             continue
         if any(ch.isdigit() for ch in b):
             # Digits among letters; codes with a dash and short ones such as B12 are left.
@@ -280,8 +282,19 @@ def _case(old: str, new: str) -> str:
     return new[:1].upper() + new[1:] if old[:1].isupper() else new
 
 
-def edges(text: str, passage: bool, lex: Lexicon) -> list[tuple[str, int, int]]:
-    """``(key, start, end)`` of what may be a running header or footer, and page numbers (key ``#``)."""
+ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+
+
+def number(s: str) -> int | None:
+    if s.isdecimal():
+        return int(s)
+    v = [ROMAN.get(ch) for ch in s.lower()]
+    return None if None in v or not v else sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0]))
+
+
+def edges(text: str, passage: bool, lex: Lexicon, page: int) -> list[tuple[str, int, int]]:
+    """``(key, start, end)`` of what may be a running header or footer, and page numbers: key ``#`` if they are told
+    by their form, else ``?`` with their distance from the page, to be told by the same distance on another page."""
     out = []
     if not passage:
         spans, at = [], 0
@@ -313,7 +326,10 @@ def edges(text: str, passage: bool, lex: Lexicon) -> list[tuple[str, int, int]]:
             head = text[: words[k][0]].strip()
             n = re.search(rf"(?:^|(?<= ))(?:{MARKED_NO.pattern}|{NUM})$", head)
             if n:
-                out.append(("?" if n[0].isalnum() and not MARKED_NO.fullmatch(n[0]) else "#", n.start(), n.end()))
+                if MARKED_NO.fullmatch(n[0]) or not n[0].isalnum():
+                    out.append(("#", n.start(), n.end()))
+                elif (v := number(n[0])) is not None:
+                    out.append((f"?{v - page}", n.start(), n.end()))
             s = skeleton(PAGE_NO.sub("", head) if PAGE_NO.fullmatch(head) else head)
             if len(s) >= 4:
                 out += [("=" + s, 0, len(head)), *([(f"~{s[:6]} {s[-6:]}", 0, len(head))] if len(s) >= 12 else [])]
@@ -430,8 +446,8 @@ def _edge_keys(rows: DataFrame, given) -> DataFrame:
         lex = _lex(given)
         for b in batches:
             at, keys = [], []
-            for i, (pid, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                for k in {k for k, _, _ in edges(t, pid is not None, lex)}:
+            for i, (page, pid, t) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2, 3)))):
+                for k in {k for k, _, _ in edges(CONTROL.sub("", t), pid is not None, lex, page)}:
                     at.append(i)
                     keys.append(k)
             take = pa.array(at, pa.int32())
@@ -442,7 +458,7 @@ def _edge_keys(rows: DataFrame, given) -> DataFrame:
 
 def running(keys: DataFrame) -> DataFrame:
     """``path, key`` of edges that stand on two pages of a file or more."""
-    return keys.filter("key NOT IN ('#', '?')").groupBy("path", "key").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a < b").select("path", "key")
+    return keys.filter("key <> '#'").groupBy("path", "key").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a < b").select("path", "key")
 
 
 def repaired(pages: DataFrame, passages: DataFrame) -> DataFrame:
@@ -461,10 +477,10 @@ def repaired(pages: DataFrame, passages: DataFrame) -> DataFrame:
         for b in batches:
             texts, kinds = [], []
             for page, pid, t, ks in zip(*(c.to_pylist() for c in b.columns[1:5])):
-                ks, found, cuts = set(ks or ()), set(), []
-                for k, x, y in edges(t, pid is not None, lex) if page is not None else ():
+                t, ks, found, cuts = CONTROL.sub("", t), set(ks or ()), set(), []
+                for k, x, y in edges(t, pid is not None, lex, page) if page is not None else ():
                     if k == "#" or k in ks:
-                        found.add("number" if k == "#" else "header")
+                        found.add("number" if k[0] in "#?" else "header")
                         cuts.append((x, y))
                 merged = []
                 for x, y in sorted(cuts):
@@ -490,9 +506,10 @@ def found(pages: DataFrame, passages: DataFrame) -> DataFrame:
         lex = _lex(given)
         for b in batches:
             at, out = [], []
-            for i, (pid, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+            for i, (page, pid, t) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2, 3)))):
+                t = CONTROL.sub("", t)
                 ks = set(repair_text(t, lex)[1])
-                ks |= {k for k, _, _ in edges(t, pid is not None, lex)}
+                ks |= {k for k, _, _ in edges(t, pid is not None, lex, page)}
                 for k in ks:
                     at.append(i)
                     out.append(k)
@@ -500,9 +517,9 @@ def found(pages: DataFrame, passages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out, pa.string())], names=["path", "page", "key"])
 
     keys = cut(rows.filter("page IS NOT NULL AND path IS NOT NULL").mapInArrow(run, "path string, page int, key string").distinct())
-    marks = F.col("key").startswith("=") | F.col("key").startswith("~") | (F.col("key") == "?")
+    marks = F.substring("key", 1, 1).isin("=", "~", "?")
     own = keys.filter(~marks).select("path", "page", F.when(F.col("key") == "#", "number").otherwise(F.col("key")).alias("kind"))
-    head = keys.join(running(keys), ["path", "key"]).select("path", "page", F.lit("header").alias("kind"))
+    head = keys.join(running(keys), ["path", "key"]).select("path", "page", F.when(F.col("key").startswith("?"), "number").otherwise("header").alias("kind"))
     return own.unionByName(head).distinct()
 
 
