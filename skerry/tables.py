@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows below which a side of fixed-width rows may be broadcast (a few tens of MB at most).
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a side of a few short columns may be broadcast (some tens of MB at most).
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for fixed-width rows, only if there are few enough of them; else the planner shuffles."""
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
+    """Broadcast hint for rows of a few short columns, only if there are few enough of them; else the planner
+    shuffles. For a side that is dear to compute, ``cut`` it first: it is counted here."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
