@@ -30,7 +30,7 @@ from skerry.tables import table
 
 from . import mojibake
 
-BITS, DIM, FIT_ROWS = 15, 1 << 16, 20_000
+BITS, DIM, FIT_ROWS = 15, 1 << 16, 10_000
 TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+|[.!?…]+(?=[\"”’»)\]]*(?:\s|$))|[。！？]+|\n+")
 END, LINE = 1, 2  # kinds of breaks: sentence end, line end
 #: Of a full sentence: words, of which in small letters (or all in capitals) and no single letters; Chinese characters.

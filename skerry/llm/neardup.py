@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.tables import cut, small, table
+from skerry.tables import cut, small, table, tidy
 
 SIZE, ROWS = 128, 4  # coordinates of a sketch, coordinates of a band
 WORD = re.compile(r"\w+")
@@ -155,6 +155,7 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int, min_wor
         .distinct()
     )
     cand = cut(cand)
+    tidy(df.sparkSession)  # the shuffled bands are the largest files of the job
     used = cand.select(*(F.col("a" + c).alias(c) for c in CLASS)).union(cand.select(*(F.col("b" + c).alias(c) for c in CLASS))).distinct()
     used = cut(used)
     ids = members.select("id", *CLASS).join(small(used), list(CLASS)).groupBy(*CLASS).agg(F.min("id").alias("id"))
