@@ -12,6 +12,8 @@ WORD = r"[\p{L}\p{N}_]+"
 # Words after the Unicode word rules: letters may hold an inner stop or apostrophe, digits an inner stop or comma.
 _A, _L, _N, _M1, _M2 = r"[\p{L}\p{M}\p{N}_]", r"[\p{L}\p{M}]", r"\p{N}", r"[.:'’·]", r"[.,;'’]"
 TERM = rf"(?:{_A}*(?:{_L}(?:{_M1}{_L})+|{_N}(?:{_M2}{_N})+))+{_A}*|{_A}+"
+# The same words without going back over them; for engines with look-around.
+_FAST = rf"{_A}++(?:(?:(?<={_L}){_M1}(?={_L})|(?<={_N}){_M2}(?={_N})){_A}++)*+"
 SEPARATORS = r"[/\\._\-]+"
 
 
@@ -22,9 +24,9 @@ def clean_text(c: Column) -> Column:
 def textual(c: Column) -> Column:
     """Whether a cleaned page reads as text: half of it letters, digits or blanks, and if long, not without blanks."""
     n = F.length(c)
-    kept = n - F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{SPACE}]", ""))
-    cjk = n - F.length(F.regexp_replace(c, f"[{CJK}]", ""))
-    blanks = n - F.length(F.regexp_replace(c, f"[{SPACE}]", ""))
+    kept = n - F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{SPACE}]++", ""))
+    cjk = n - F.length(F.regexp_replace(c, f"[{CJK}]++", ""))
+    blanks = n - F.length(F.regexp_replace(c, f"[{SPACE}]++", ""))
     return (n > 0) & (kept * 2 >= n) & ~((n >= 200) & (cjk * 5 < n) & (blanks * 100 < n * 3))
 
 
@@ -38,7 +40,7 @@ def bigrams(run: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Index terms before stemming: words of scripts with blanks, pairs of characters of the others."""
-    latin = F.regexp_extract_all(F.lower(F.regexp_replace(c, f"[{CJK}]+", " ")), F.lit(TERM), F.lit(0))
+    latin = F.regexp_extract_all(F.lower(F.regexp_replace(c, f"[{CJK}]+", " ")), F.lit(_FAST), F.lit(0))
     runs = F.regexp_extract_all(c, F.lit(f"[{CJK}]+"), F.lit(0))
     return F.concat(latin, F.flatten(F.transform(runs, bigrams)))
 

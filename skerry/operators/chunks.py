@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import text as T
 
-ELEMENT = rf"[{T.SPACE}]*[^{T.SPACE}]+"
+ELEMENT = rf"[{T.SPACE}]*+[^{T.SPACE}]++"
 
 
 def _window(el: Column, o: Column, size: int, step: int) -> Column:
@@ -23,15 +23,18 @@ def chunk(pages: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
 
     Windows never cross pages; ordinals run over the pages of a document; pages that are blank or don't
     read as text give none. Offsets count code points of the cleaned page. All of it is built-in
-    functions; the only shuffle is the running sum over the pages of a document, without their texts.
+    functions; the only shuffle brings the pages of a document together for the running sum.
     """
     size, step = max(1, size), max(1, max(1, size) - overlap)
-    p = pages.select("doc_id", "page", T.clean_text(F.col("text")).alias("t")).filter(F.col("t").isNotNull() & T.textual(F.col("t")))
-    p = p.withColumn("el", F.regexp_extract_all("t", F.lit(ELEMENT), F.lit(0))).drop("t").filter(F.size("el") > 0)
-    n = F.size("el")
-    p = p.withColumn("n", F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int"))
+    # Bound in an array, the cleaned text is made once for all tests of it; pages without words are left
+    # out after the window, so nothing is pushed down and done over.
+    kept = F.get(F.filter(F.array(T.clean_text(F.col("text"))), T.textual), F.lit(0))
+    p = pages.select("doc_id", "page", F.regexp_extract_all(kept, F.lit(ELEMENT), F.lit(0)).alias("el"))
+    n = F.coalesce(F.size("el"), F.lit(0))
+    p = p.withColumn("n", F.when(n <= 0, 0).when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step)).cast("int"))
     w = Window.partitionBy("doc_id").orderBy(F.col("page").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     p = p.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    p = p.filter("n > 0")
     p = p.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("w", _window(F.col("el"), F.col("o"), size, step))
     p = p.withColumn("ordinal", (F.col("base") + F.col("o")).cast("int"))
     return p.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("ordinal").cast("string")).alias("passage_id"), "doc_id", F.col("doc_id").cast("string").alias("path"), "ordinal", "page", "w.offset", "w.text")

@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import text as T
-from skerry.tables import small
+
+
+_WORD = re.compile(r"\w+")
+
+
+class _Buckets(dict):
+    """Bucket of each word: the first byte of its digest, which for 256 dimensions is the whole of it."""
+
+    def __missing__(self, w: str) -> int:
+        b = hashlib.md5(w.encode()).digest()[0]
+        if len(self) >= 500_000:
+            self.clear()
+        self[w] = b
+        return b
+
+
+def _count(texts: list[str | None], cache: _Buckets) -> np.ndarray:
+    """Unit vectors of texts, one a row; zeros for a text without words."""
+    lists = [_WORD.findall(t.lower()) if t else [] for t in texts]
+    lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    b = np.fromiter((cache[w] for ws in lists for w in ws), np.int64, int(lens.sum()))
+    n = np.bincount(np.repeat(np.arange(len(lists)), lens) * 256 + b, minlength=len(lists) * 256).reshape(-1, 256).astype(np.float64)
+    return n / np.maximum(np.sqrt((n * n).sum(1, keepdims=True)), 1e-300)
 
 
 def hash_embed(texts: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFrame:
     """``id, bucket, weight`` of the non-zero parts of each vector: words are counted by the first byte of their
-    digest, counts scaled to length 1. For 256 dimensions that byte is the bucket; texts without words give no rows."""
+    digest, counts scaled to length 1. Texts without words give no rows. A narrow pass: a vector needs its own
+    row only, which grouping exploded words would shuffle."""
     if dim != 256:
         raise ValueError("only 256 dimensions are kept sparse")
-    t = texts.select(F.col(id_col).alias("id"), F.explode(T.words(F.col(text_col))).alias("w"))
-    t = t.groupBy("id", F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    n2 = t.groupBy("id").agg(F.sum(F.col("n") * F.col("n")).alias("n2"))
-    return t.join(n2, "id").select("id", "bucket", (F.col("n") / F.sqrt("n2")).alias("weight"))
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        cache = _Buckets()
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                v = _count(part.column(1).to_pylist(), cache)
+                r, c = np.nonzero(v)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(c.astype(np.int32)), pa.array(v[r, c])], names=["id", "bucket", "weight"])
+
+    return texts.select(id_col, text_col).mapInArrow(run, f"id {kind}, bucket int, weight double")
 
 
 def densify(sparse: DataFrame, dim: int = 256) -> DataFrame:
@@ -28,13 +62,38 @@ def densify(sparse: DataFrame, dim: int = 256) -> DataFrame:
 
 
 def hash_search(passages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, rank, passage_id, score``: exact cosine of hash vectors, by a join on buckets. The queries are a
-    stated small set; every query has ``k`` hits if so many passages share a bucket with it."""
-    p = hash_embed(passages.select("passage_id", "text").distinct(), "passage_id", "text")
-    q = hash_embed(queries, "query_id", "query").select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"))
-    s = p.join(small(q), "bucket").groupBy("query_id", F.col("id").alias("passage_id")).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
+    """``query_id, rank, passage_id, score``: exact cosine of hash vectors. The queries are a stated set and go to
+    every task as one matrix; a task keeps its best ``k`` of each, so ``k`` rows a query and task are shuffled.
+    Passages that share nothing with a query aren't named."""
+    asked = queries.select(F.col("query_id").cast("bigint").alias("q"), "query").collect()  # a stated query set
+    given = passages.sparkSession.sparkContext.broadcast((np.array([r.q for r in asked], np.int64), _count([r.query for r in asked], _Buckets())))
+
+    def run(batches):
+        qid, q = given.value
+        cache, best = _Buckets(), []
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                s = np.round(q @ _count(part.column(1).to_pylist(), cache).T, 6)
+                ids = np.array(part.column(0).to_pylist(), object)
+                r, c = np.nonzero((s > 0) & (s >= (np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else 0)))
+                best.append((r, ids[c], s[r, c]))
+            best = [_best(best, k)]
+        r, i, s = best[0] if best else (np.zeros(0, np.int64), [], np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(list(i), pa.string()), pa.array(s)], names=["query_id", "passage_id", "score"])
+
+    got = passages.select("passage_id", "text").distinct().mapInArrow(run, "query_id bigint, passage_id string, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "passage_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+
+
+def _best(parts: list[tuple], k: int) -> tuple:
+    """The best ``k`` of each row over parts of (row, id, score)."""
+    r, i, s = (np.concatenate(x) for x in zip(*parts))
+    order = sorted(range(len(r)), key=lambda j: (r[j], -s[j], i[j]))
+    r, i, s = r[order], i[order], s[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], i[keep], s[keep]
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

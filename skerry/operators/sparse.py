@@ -62,29 +62,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return q.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(passages: DataFrame, qterms: DataFrame, k: int = 10, conf: Sparse = Sparse(), boosts: dict | None = None, stem: bool = False) -> DataFrame:
+def bm25(passages: DataFrame, qterms: DataFrame, k: int = 10, conf: Sparse = Sparse(), boosts: dict | None = None, stem: bool = False, index: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, passage_id, score`` of the best ``k`` passages for ``query_id, term, qtf``.
 
     Terms of the queries are a stated, small set: they filter the exploded terms before anything is
-    grouped, so only matching postings are shuffled. Equal scores go by passage id.
+    grouped, so only matching postings are shuffled; these are kept, and all else but the field lengths
+    comes from them. ``index``: the result of ``fields``, if it is at hand. Equal scores go by passage id.
     """
     boosts = conf.field_boosts if boosts is None else boosts
-    flds = fields(passages).filter(F.col("field").isin(list(boosts)))
+    flds = (fields(passages) if index is None else index).filter(F.col("field").isin(list(boosts)))
     tok = flds.select("passage_id", "field", "dl", F.explode("terms").alias("term"))
     if stem:
         voc = cut(porter.stems(tok.select("term").unionByName(qterms.select("term"))))
-        qterms = qterms.join(voc, "term").groupBy("query_id", F.col("stem").alias("term")).agg(F.sum("qtf").alias("qtf"))
-        wanted = voc.join(small(qterms.select(F.col("term").alias("stem")).distinct()), "stem")
+        qterms = cut(qterms.join(voc, "term").groupBy("query_id", F.col("stem").alias("term")).agg(F.sum("qtf").alias("qtf")))
+        wanted = cut(voc.join(small(qterms.select(F.col("term").alias("stem")).distinct()), "stem"))
         tok = tok.join(small(wanted), "term").select("passage_id", "field", "dl", F.col("stem").alias("term"))
     else:
         tok = tok.join(small(qterms.select("term").distinct()), "term")
-    post = tok.groupBy("passage_id", "field", "term", "dl").agg(F.count("*").alias("tf"))
+    post = cut(tok.groupBy("passage_id", "field", "term", "dl").agg(F.count("*").alias("tf")))
     df = post.groupBy("field", "term").agg(F.count("*").alias("df"))
     fs = field_stats(flds).withColumn("avgdl", F.col("sum_ttf") / F.col("n_docs"))
     boost = F.create_map(*(x for f, b in boosts.items() for x in (F.lit(f), F.lit(float(b)))))
-    weights = df.join(F.broadcast(fs), "field").join(qterms, "term")
+    weights = df.join(F.broadcast(fs), "field").join(qterms, "term")  # a row for each field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("query_id", "field", "term", "avgdl", (boost[F.col("field")] * F.col("qtf") * idf).alias("weight"))
+    weights = cut(weights.select("query_id", "field", "term", "avgdl", (boost[F.col("field")] * F.col("qtf") * idf).alias("weight")))
     tfn = F.col("tf") / (F.col("tf") + conf.k1 * (1 - conf.b + conf.b * norm(F.col("dl"), conf.quantize_norms) / F.col("avgdl")))
     scored = post.join(small(weights), ["field", "term"]).groupBy("query_id", "passage_id").agg(F.round(F.sum(F.col("weight") * tfn), 6).alias("score"))
     return top(scored, k)
@@ -95,10 +96,10 @@ def top(scored: DataFrame, k: int, key: str = "passage_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def expansion(passages: DataFrame, queries: DataFrame, seeds: DataFrame, conf: Sparse = Sparse(), stem: bool = False) -> DataFrame:
+def expansion(passages: DataFrame, queries: DataFrame, seeds: DataFrame, conf: Sparse = Sparse(), stem: bool = False, index: DataFrame | None = None) -> DataFrame:
     """``query_id, term, weight``: feedback terms of the seeds (``query_id, passage_id, score``), by relative
     frequency weighted by score, the best 50 ranked again by times inverse document frequency."""
-    flds = fields(passages).filter("field = 'contents'")
+    flds = (fields(passages) if index is None else index).filter("field = 'contents'")
     tok = flds.select("passage_id", "dl", F.explode("terms").alias("term"))
     if stem:
         tok = stemmed(tok, tok.select("term"))
@@ -110,7 +111,7 @@ def expansion(passages: DataFrame, queries: DataFrame, seeds: DataFrame, conf: S
     own = queries.select("query_id", F.explode(T.words(F.coalesce("query", F.lit("")))).alias("term")).distinct()
     rm = rm.join(own, ["query_id", "term"], "left_anti").filter((F.length("term") >= 2) & F.col("term").rlike(r"[\p{L}\p{N}]") & ~F.col("term").isin(STOPWORDS))
     w = Window.partitionBy("query_id").orderBy(F.desc("rm"), "term")
-    rm = rm.withColumn("r", F.row_number().over(w)).filter("r <= 50")
+    rm = cut(rm.withColumn("r", F.row_number().over(w)).filter("r <= 50"))
     df = tok.join(small(rm.select("term").distinct()), "term").groupBy("term").agg(F.count_distinct("passage_id").alias("df"))
     n = flds.agg(F.count("*").alias("n"))
     scored = rm.join(df, "term").join(F.broadcast(n)).withColumn("weight", F.round(F.col("rm") * F.log((F.col("n") + 1) / (F.col("df") + 0.5)), 9))
@@ -118,10 +119,11 @@ def expansion(passages: DataFrame, queries: DataFrame, seeds: DataFrame, conf: S
     return scored.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= conf.fb_terms).select("query_id", "term", "weight")
 
 
-def bm25_prf(passages: DataFrame, queries: DataFrame, k: int = 10, conf: Sparse = Sparse(), stem: bool = False) -> DataFrame:
-    """BM25 of the query, counted twice, and its expansion."""
-    qt = query_terms(queries)
-    seeds = cut(bm25(passages, qt, conf.fb_docs, conf, stem=stem).select("query_id", "passage_id", "score"))
-    more = expansion(passages, queries, seeds, conf, stem).select("query_id", F.explode(T.terms(F.col("term"))).alias("term"), F.lit(1).alias("qtf"))
+def bm25_prf(passages: DataFrame, queries: DataFrame, k: int = 10, conf: Sparse = Sparse(), stem: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """BM25 of the query, counted twice, and its expansion. Texts are taken apart once, for all three steps."""
+    index = cut(fields(passages)) if index is None else index
+    qt = cut(query_terms(queries))
+    seeds = cut(bm25(passages, qt, conf.fb_docs, conf, stem=stem, index=index).select("query_id", "passage_id", "score"))
+    more = expansion(passages, queries, seeds, conf, stem, index).select("query_id", F.explode(T.terms(F.col("term"))).alias("term"), F.lit(1).alias("qtf"))
     every = qt.withColumn("qtf", F.col("qtf") * 2).unionByName(more).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
-    return bm25(passages, cut(every), k, conf, stem=stem)
+    return bm25(passages, cut(every), k, conf, stem=stem, index=index)

@@ -132,8 +132,9 @@ def bm25_stemmed(s, d):
 
 def prf_terms(s, d):
     p, q = _passages(s, d), _queries(s, d)
-    seeds = cut(sparse.bm25(p, sparse.query_terms(q), CONF.sparse.fb_docs).select("query_id", "passage_id", "score"))
-    return sparse.expansion(p, q, seeds).withColumn("weight", F.round("weight", 6))
+    index = cut(sparse.fields(p))
+    seeds = cut(sparse.bm25(p, sparse.query_terms(q), CONF.sparse.fb_docs, index=index).select("query_id", "passage_id", "score"))
+    return sparse.expansion(p, q, seeds, index=index).withColumn("weight", F.round("weight", 6))
 
 
 def bm25_prf(s, d):
