@@ -3,8 +3,8 @@
 Shortest pack first over the histogram of lengths: lengths are placed longest first, each into the
 open pattern with the most room; a pattern stands for a contiguous range of containers, so placing
 ``n`` items of a length moves a whole range at once. The histogram has at most ``capacity`` rows,
-and each placing step uses up a length or a pattern, so patterns number at most a few per length,
-whatever the number of documents. Documents find their container by their rank among the items of
+and each placing step uses up a length or a pattern, or fills new containers with one length; so ranges
+number at most ``capacity * (2 + ln capacity)`` or so, whatever the number of documents. Documents find their container by their rank among the items of
 their length; ranks are counted in salted blocks, so a length that a third of all rows share is no
 hot group.
 
@@ -46,10 +46,20 @@ def plan_containers(hist: dict[int, int], capacity: int) -> tuple[list[tuple[int
                 heapq.heappop(rooms)
             room = -rooms[0] if rooms else 0
             if room < length:
-                room, first, n = capacity, containers, left
-                containers += left
-            else:
-                first, n = open_[room].pop()
+                # One after the other, the items that are left fill new containers: each as many as it holds.
+                per = capacity // length
+                full, rest = divmod(left, per)
+                for j in range(min(per, left)):
+                    n = full + (j < rest)
+                    ranges.append((length, rank, containers, j * length))
+                    rank += n
+                if full and capacity > per * length:
+                    put(capacity - per * length, containers, full)
+                if rest:
+                    put(capacity - rest * length, containers + full, 1)
+                containers += full + (rest > 0)
+                break
+            first, n = open_[room].pop()
             take = min(n, left)
             ranges.append((length, rank, first, capacity - room))
             if take < n:

@@ -114,7 +114,13 @@ def test_plan_places_every_item_once(hist):
             room[c] += length
             assert room[c] <= 40
     assert len(room) == containers
-    assert len(ranges) <= 4 * 40 + len(hist)
+    assert len(ranges) <= 40 * 7
+    assert containers <= 1 + 1.7 * sum(k * n for k, n in hist.items()) / 40
+
+
+def test_one_short_length_fills_containers():
+    assert pack.plan_containers({10: 9}, 40)[1] == 3
+    assert pack.plan_containers({7: 100, 3: 100}, 40)[1] <= 27
 
 
 def test_empty_packing(spark):
