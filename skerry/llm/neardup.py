@@ -165,11 +165,20 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int, min_wor
     both = cand.join(_side(texts, "a", "t"), ["a" + c for c in CLASS]).join(_side(texts, "b", "t"), ["b" + c for c in CLASS])
 
     def verify(batches):
+        sets: dict[str, set] = {}  # rows of one text follow each other
+
+        def shingles(t: str) -> set:
+            if t not in sets:
+                if len(sets) >= 5_000:
+                    sets.clear()
+                w = WORD.findall(t.lower())
+                sets[t] = set(zip(*(w[i:] for i in range(shingle))))
+            return sets[t]
+
         for x in batches:
             js = []
             for ta, tb in zip(x.column(6).to_pylist(), x.column(7).to_pylist()):
-                wa, wb = WORD.findall(ta.lower()), WORD.findall(tb.lower())
-                sa, sb = set(zip(*(wa[i:] for i in range(shingle)))), set(zip(*(wb[i:] for i in range(shingle))))
+                sa, sb = shingles(ta), shingles(tb)
                 both_ = len(sa & sb)
                 js.append(both_ / (len(sa) + len(sb) - both_) if sa or sb else 0.0)
             yield pa.RecordBatch.from_arrays([*x.columns[:6], pa.array(js, pa.float64())], names=[*x.schema.names[:6], "jaccard"])
