@@ -115,7 +115,7 @@ def test_plan_places_every_item_once(hist):
             assert room[c] <= 40
     assert len(room) == containers
     assert len(ranges) <= 40 * 7
-    assert containers <= 1 + 1.7 * sum(k * n for k, n in hist.items()) / 40
+    assert containers <= 1 + 2 * sum(k * n for k, n in hist.items()) / 40
 
 
 def test_one_short_length_fills_containers():
