@@ -12,6 +12,7 @@ from skerry.config import Config
 from skerry.functions import text as T
 from skerry.operators import chunks, dense, folders, fusion, manifest, sparse
 from skerry.sources import extract, files
+from skerry.session import ship
 from skerry.sources.store import Store
 from skerry.tables import cut
 
@@ -28,7 +29,7 @@ class Hybrid:
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, store: str, conf: Config = Config()):
-        self.spark, self.root, self.conf, self.store = spark, root, conf, Store(spark, store)
+        self.spark, self.root, self.conf, self.store = ship(spark), root, conf, Store(spark, store)
         self.retrievers = {"sparse": self.search_sparse, "dense": self.search_dense, "kb": self.search_kb, "graph": self.search_graph}
 
     # Indexing
