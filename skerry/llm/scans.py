@@ -1,9 +1,10 @@
 """Noise in text from scanned pages (problem 1).
 
 The corpus gives a lexicon of words by frequency, counts of neighbouring words and the ways sentences
-begin. A symmetric-delete index over the lexicon finds candidates for a token; a weighted edit
-distance, cheap for characters that readers confuse and for stray signs, ranks them; the neighbours
-decide between a rare word and a misread common one. Words parted at line ends are joined when the
+begin. A symmetric-delete index over the lexicon finds candidates for a token, and so does undoing the
+listed confusions and stray signs in it, once and twice, which reaches all that the limit on the distance
+allows at any length; a weighted edit distance, cheap for characters that readers confuse and for stray
+signs, ranks them; the neighbours decide between a rare word and a misread common one. Words parted at line ends are joined when the
 whole is a word and the parts aren't. A line at the top or bottom of a page is a running header or
 footer if the same letters stand there on another page of the file; page numbers are told by form.
 
@@ -48,7 +49,7 @@ HEADING = re.compile(r"\d+\.(?:\d+\.?)* ")
 #: Characters and groups that readers take for each other: (read, meant).
 CONFUSED = [
     ("c", "e"), ("0", "o"), ("1", "l"), ("l", "1"), ("1", "i"), ("5", "s"), ("8", "b"), ("9", "g"), ("6", "b"), ("b", "h"), ("h", "b"), ("f", "t"), ("t", "f"), ("ſ", "s"), ("í", "i"), ("á", "a"),
-    ("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"), ("ri", "n"), ("n", "ri"), ("iii", "m"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("fi", "ﬁ"), ("li", "h"), ("nn", "m"), ("l", "i"), ("i", "l"), ("e", "c"),
+    ("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"), ("ri", "n"), ("n", "ri"), ("iii", "m"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("fi", "ﬁ"), ("li", "h"), ("h", "li"), ("nn", "m"), ("l", "i"), ("i", "l"), ("e", "c"),
     ("class", "dass"), ("n", "н"), ("a", "а"), ("o", "о"), ("e", "е"), ("c", "с"), ("p", "р"), ("x", "х"), ("y", "у"), ("п", "н"), ("н", "п"), ("щ", "ш"), ("ш", "щ"), ("б", "6"), ("6", "б"), ("0", "о"), ("3", "з"), ("и", "н"), ("н", "и"), ("ь", "ъ"), ("l", "t"), ("g", "9"), ("u", "n"), ("n", "u"), ("v", "y"), ("ó", "o"), ("é", "e"), ("ú", "u"),
 ]
 COST = {x: 0.4 for x in CONFUSED}
@@ -74,6 +75,25 @@ def deletes(w: str, most: int) -> set[str]:
     return out
 
 
+def undone(w: str, most: int, longest: int) -> dict[str, float]:
+    """What ``w`` may have been misread from, with its cost as in ``distance``: one or, if ``most`` is 2, two
+    confusions or stray signs undone that don't overlap. None has over ``longest`` characters to match."""
+    if len(w) > longest + 2 * most:  # one undone takes two characters away at most
+        return {}
+    at = [(i, i + 1, "") for i, ch in enumerate(w) if ch in STRAY or ch == "."]
+    at += [(i, i + k, b) for i in range(len(w)) for k in (1, 2, 3) if i + k <= len(w) for b in BY_READ.get(w[i : i + k], ())]
+    at.sort()
+    out: dict[str, float] = {}
+    for i, (a, b, x) in enumerate(at if most > 1 else ()):
+        head = w[:a] + x
+        for c, d, y in at[i + 1 :]:
+            if c >= b:
+                out[head + w[b:c] + y + w[d:]] = 0.8
+    for a, b, x in at:
+        out[w[:a] + x + w[b:]] = 0.4
+    return out
+
+
 def distance(read: str, meant: str, limit: float = 1.0) -> float:
     """Least cost of getting from what was meant to what was read by confusions and stray signs; other edits cost 2."""
     n, m = len(read), len(meant)
@@ -110,10 +130,13 @@ class Lexicon:
         self.keys, self.counts = pairs
         self.starts = set(starts)
         self.index: dict[str, list[str]] = defaultdict(list)
+        self.meant: set[str] = set()
         for w, n in words:
             if len(w) >= 2 and w.replace("'", "").replace("’", "").isalpha() and not CJK.search(w):
+                self.meant.add(w)
                 for x in deletes(w, 1 if len(w) < 5 or len(w) > 14 else 2):
                     self.index[x].append(w)
+        self.longest = max(map(len, self.meant), default=0)
         self.found: dict[str, list[tuple[str, float]]] = {}
         self.fine: dict[str, bool] = {}
 
@@ -130,13 +153,13 @@ class Lexicon:
         if w not in self.found:
             if len(self.found) > 200_000:
                 self.found.clear()
-            best: dict[str, float] = {}
             mine = self.n.get(w, 0)
+            lim = 0.45 if len(w) <= 3 else 0.85
+            best = {v: c for v, c in undone(w, 1 if lim < 0.8 else 2, self.longest).items() if v in self.meant and v != w and self.n[v] > 20 * mine}
             for x in deletes(w, 2 if 3 <= len(w) <= 16 else 1) if len(w) <= 24 else ():
                 for v in self.index.get(x, ()):
                     if v != w and v not in best and abs(len(v) - len(w)) <= 2 and self.n[v] > 20 * mine:
                         best[v] = distance(w, v)
-            lim = 0.45 if len(w) <= 3 else 0.85
             self.found[w] = sorted(((v, c) for v, c in best.items() if c <= lim), key=lambda x: (x[1], -self.n[x[0]]))[:5]
         return self.found[w]
 

@@ -150,3 +150,24 @@ def test_scanned_pages(spark):
 @pytest.mark.parametrize(("read", "meant", "near"), [("cornmittee", "committee", True), ("thc", "the", True), ("ancl", "and", True), ("too§k", "took", True), ("onte", "note", False), ("kettle", "ketone", False)])
 def test_distance(read, meant, near):
     assert (scans.distance(read, meant) <= 0.85) == near
+
+
+def test_confusions_are_undone_at_any_length():
+    import numpy as np
+
+    words = ["turn", "club", "lift", "list", "remember", "updated", "toestemmingsformulier", "communicationmanagement", "illuminated", "committee"]
+    lex = scans.Lexicon([(w, 5000) for w in sorted(words)], (np.zeros(0, np.int64), np.zeros(0, np.int64)), [])
+    for read, meant in [("tum", "turn"), ("dub", "club"), ("hft", "lift"), ("hst", "list"), ("rernernber", "remember"), ("upclatecl", "updated"), ("toestemmingsformuher", "toestemmingsformulier"), ("comrnunicationrnanagement", "communicationmanagement")]:
+        assert meant in dict(lex.candidates(read)), read
+    # All that the distance allows, and at its cost.
+    rnd = random.Random(5)
+    for w in words:
+        for _ in range(20):
+            read = w
+            for a, b in rnd.sample(scans.CONFUSED, 60):
+                if b in read and rnd.random() < 0.3:
+                    read = read.replace(b, a, 1)
+            lim = 0.45 if len(read) <= 3 else 0.85
+            want = {v: round(c, 3) for v in words if v != read and lex.n[v] > 20 * lex.n.get(read, 0) and (c := scans.distance(read, v)) <= lim}
+            assert {v: round(c, 3) for v, c in lex.candidates(read)} == want
+    assert lex.candidates("m" * 5000) == []
