@@ -107,9 +107,9 @@ class Engine:
         return self._finish(hits.withColumn("retriever", F.lit("graph")))
 
     def search_kb(self, query, k: int = 10) -> DataFrame:
-        """Notes are the Markdown files of the index, linked by ``[[name]]``."""
-        p = self.store.table("passages").filter("ordinal = 0 AND lower(path) LIKE '%.md'")
-        notes = p.select("path", "text")
+        """Notes are the Markdown files of the index as a whole, linked by ``[[name]]``."""
+        p = self.store.table("passages").filter("lower(path) LIKE '%.md'")
+        notes = chunks.whole(p, self.conf.chunk.size, self.conf.chunk.overlap)
         edges = folders.links(notes.select(F.col("path").alias("note"), F.col("text").alias("line")))
         hits = folders.kb_search(notes, edges, self.queries(query), k, self.conf.kb.hops, self.conf.kb.search_limit)
         return self._finish(hits.withColumn("passage_id", F.col("path")).withColumn("retriever", F.lit("kb")))

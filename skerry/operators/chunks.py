@@ -40,6 +40,17 @@ def chunk(pages: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     return p.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("ordinal").cast("string")).alias("passage_id"), "doc_id", F.col("doc_id").cast("string").alias("path"), "ordinal", "page", "w.offset", "w.text")
 
 
+def whole(passages: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+    """``path, text``: what ``chunk`` cut with this size and overlap, put together; words two windows share count once."""
+    size = max(1, size)
+    shared = size - max(1, size - overlap)
+    rows = passages.groupBy("path", "page", "ordinal").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("path", "page").orderBy("ordinal"))
+    rest = F.array_join(F.slice(F.split("text", " "), shared + 1, F.greatest(F.size(F.split("text", " ")), F.lit(1))), " ")
+    parts = rows.withColumn("nth", nth).select("path", F.struct("ordinal", F.when(F.col("nth") == 1, F.col("text")).otherwise(rest).alias("text")).alias("part"))
+    return parts.groupBy("path").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("path", F.array_join(F.col("parts.text"), " ").alias("text"))
+
+
 def stubs(files: DataFrame) -> DataFrame:
     """The one passage of a file that is known by name only."""
     return files.select(F.concat("path", F.lit("#0")).alias("passage_id"), F.col("path").alias("doc_id"), "path", F.lit(0).alias("ordinal"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("offset"), T.spaced(F.col("path")).alias("text"))

@@ -62,6 +62,23 @@ def test_runs_equal_a_rebuild(spark, corpus, tmp_path):
     assert e.reindex(full=True)["modified"] == 4
 
 
+def test_notes_are_searched_whole(spark, corpus, tmp_path):
+    from skerry.operators import chunks
+
+    body = [f"w{i}" for i in range(1400)]
+    body[1200:1200] = ["see", "[[readme]]", "about", "zorbelin", "crefta"]
+    (corpus / "long.md").write_text(" ".join(body))
+    e = engine(spark, corpus, tmp_path)
+    e.reindex()
+    got = api.search_kb(e, "zorbelin")
+    assert [x["path"] for x in got] == ["long.md", "readme.md"] and "zorbelin crefta" in got[0]["snippet"]
+    p = e.store.table("passages")
+    assert {r.path: r.text for r in chunks.whole(p).collect()}["long.md"] == " ".join(body)
+    pages = spark.createDataFrame([("a", 1, " ".join(map(str, range(9)))), ("a", 2, "x y"), ("b", None, "z " * 7)], "doc_id string, page int, text string")
+    for size, overlap in ((4, 2), (3, 0), (1, 5), (20, 3)):
+        assert {r.path: r.text for r in chunks.whole(chunks.chunk(pages, size, overlap), size, overlap).collect()} == {"a": "0 1 2 3 4 5 6 7 8 x y", "b": "z z z z z z z"}
+
+
 def test_stream(spark, tmp_path):
     from skerry.sources.store import Store
     from skerry.streaming.ingest import index_stream
