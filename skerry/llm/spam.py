@@ -9,7 +9,9 @@ is flagged if the judged stretches hold more than half of its characters. Links
 too few words to count, so their share of a line is taken as it is.
 
 Only words above a relative document frequency are kept (``WORD_DF``), and pairs above ``PAIR_DF``:
-so at most (mean distinct words or pairs of a document) / threshold entries go to the workers.
+so at most (mean distinct words or pairs of a document) / threshold entries go to the workers. Repetition
+within a document is counted over all its words; coherence is judged for pairs of kept words only, as it
+can't tell a made-up name from salad.
 
 Cases: null, empty and blank texts and texts without enough pairs are not flagged; repeated rows
 count once; texts are read whole.
@@ -56,6 +58,12 @@ class Counts:
         self.total = max(1.0, float(self.left.sum()))
         self.base = len(vocab) + 1
 
+    def local(self, toks: list[str]) -> np.ndarray:
+        """As ``numbers``, but words that aren't kept are numbered too, from ``base`` on, for these tokens only;
+        -1 for single signs."""
+        get, more = self.ids.get, {}
+        return np.array([i if (i := get(w)) is not None else more.setdefault(w, self.base + len(more)) if len(w) > 1 else -1 for w in toks], np.int64)
+
     def numbers(self, toks: list[str]) -> np.ndarray:
         """Numbers of the words; -1 for one that isn't kept, -2 for a digit."""
         get = self.ids.get
@@ -112,8 +120,9 @@ def shares(texts: list[str], c: Counts) -> np.ndarray:
     owner = np.array(owner, np.int64)
     sizes = np.array([b - a for a, b in spans], float)
     m = len(spans)
-    x = c.numbers(list(chain.from_iterable(parts)))
+    every = c.local(list(chain.from_iterable(parts)))
     of = np.repeat(np.arange(m), [len(p) for p in parts])
+    x = np.where(every < c.base, every, -1)
     keys, first = c.pairs(x)
     coherence, seldom = c.judge(keys)
     line = of[first]
@@ -121,25 +130,32 @@ def shares(texts: list[str], c: Counts) -> np.ndarray:
     s = np.bincount(line, coherence, minlength=m)
     size = np.bincount(of[x != -2], minlength=m)
     digits = np.bincount(of[x == -2], minlength=m)
-    # Collocations repeated too often in a text.
-    doc = owner[line]
+    # Collocations repeated too often in a text, whether or not their words are kept.
+    begins = np.flatnonzero((every[:-1] >= 0) & (every[1:] >= 0))
+    rare = np.ones(len(every), bool)  # other documents seldom have the pair that begins here
+    rare[first] = seldom
+    where = of[begins]
+    doc = owner[where]
     total = np.bincount(doc, minlength=len(texts))
-    both = doc * c.base**2 + keys
+    wide = int(every.max(initial=0)) + 1
+    pair, same = np.unique(every[begins] * wide + every[begins + 1], return_inverse=True)
+    both = doc * len(pair) + same
     _, at, inv, times = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
     whose = doc[at]
-    heavy = (times >= 6) & (times >= REPEAT * total[whose]) & seldom[at]
+    heavy = (times >= 6) & (times >= REPEAT * total[whose]) & rare[begins[at]]
     order = np.lexsort((-times, whose))
     rank = np.arange(len(order)) - np.searchsorted(whose[order], whose[order])
     most = order[rank < 4]
     few = np.bincount(whose[most], times[most], minlength=len(texts)) >= FEW * np.maximum(total, 1)
     heavy[most[few[whose[most]]]] = True
     heavy &= (times >= 6) & (total[whose] >= 20)
-    r = np.bincount(line, heavy[inv], minlength=m)
+    r = np.bincount(where, heavy[inv], minlength=m)
+    pairs = np.bincount(where, minlength=m)
     # Neighbouring lines count too, less with distance, so that a short line isn't judged by a word or two.
     nn, ss = (np.convolve(v, (0.25, 0.5, 1, 0.5, 0.25))[2:-2] for v in (n, s))
     bad = (nn >= 3) & (n > 0) & (n >= 0.2 * size) & (ss < LIMIT * nn)
     # Lines that differ by their numbers, as in logs, aren't one phrase over and over.
-    bad |= (n > 0) & (r >= 0.12 * n) & (r > 0) & (digits < 0.5 * size)
+    bad |= (r >= 0.12 * pairs) & (r > 0) & (digits < 0.5 * size)
     begin = np.searchsorted(owner, np.arange(len(texts) + 1))
     for d, text in enumerate(texts):
         tagged = text.count("#") >= 5

@@ -112,6 +112,13 @@ def test_stuffed_pages(spark):
     assert spam.stuffed(df.limit(0)).count() == 0
 
 
+def test_repeated_rare_words_are_stuffed(spark):
+    rare = [(9100, " ".join(["zorbelin crefta"] * 200)), (9101, "\n".join(["mulvane tiskor prandel"] * 60)), (9102, "Zorbelin met Crefta and Mulvane at Prandel. Tiskor saw Brelvin, Kantor and Dovrel."), (9103, "天气很好。" * 40)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in documents()] + rare, "doc_id bigint, text string")
+    share = {r.doc_id: r.share for r in spam.stuffed(df).filter("doc_id >= 9100").collect()}
+    assert share[9100] > 0.9 and share[9101] > 0.9 and share[9102] == 0 and share[9103] == 0
+
+
 def pages():
     rnd = random.Random(4)
     rows = []
