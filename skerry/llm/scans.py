@@ -123,12 +123,13 @@ def distance(read: str, meant: str, limit: float = 1.0) -> float:
 
 
 class Lexicon:
-    def __init__(self, words: list[tuple[str, int]], pairs: tuple[np.ndarray, np.ndarray], starts: list[str]):
+    def __init__(self, words: list[tuple[str, int]], pairs: tuple[np.ndarray, np.ndarray], starts: list[str], seldom: np.ndarray | None = None):
         self.n = dict(words)
         self.ids = {w: i for i, (w, _) in enumerate(words)}
         self.base = len(words) + 1
         self.keys, self.counts = pairs
         self.starts = set(starts)
+        self.seldom = np.zeros(0, np.int64) if seldom is None else seldom
         self.index: dict[str, list[str]] = defaultdict(list)
         self.meant: set[str] = set()
         for w, n in words:
@@ -148,6 +149,15 @@ class Lexicon:
         p = int(np.searchsorted(self.keys, k))
         return int(self.counts[p]) if p < len(self.keys) and self.keys[p] == k else 0
 
+    def begins(self, a: str, b: str) -> bool:
+        """Whether a sentence of the corpus begins with these words."""
+        i, j = self.ids.get(a, -1), self.ids.get(b, -1)
+        if i < 0 or j < 0:
+            return False
+        k = i * self.base + j
+        p = int(np.searchsorted(self.seldom, k))
+        return p < len(self.seldom) and self.seldom[p] == k
+
     def candidates(self, w: str) -> list[tuple[str, float]]:
         """Lexicon words that may have been misread as ``w``, by cost; far commoner than ``w``."""
         if w not in self.found:
@@ -342,21 +352,26 @@ def edges(text: str, passage: bool, lex: Lexicon, page: int) -> list[tuple[str,
     m = MARKED_NO.match(text)
     if m:
         out.append(("#", 0, m.end()))
+    at = []
     for k in range(1, len(words) - 1) if not HEADING.match(text) else ():
         if words[k - 1][2][-1] in ".。!?" and not re.fullmatch(r"p\.|[A-Z]\.", words[k - 1][2]):
             break
-        if f"{bare(words[k][2])} {bare(words[k + 1][2])}" in lex.starts and not words[k][2][0].islower():
-            head = text[: words[k][0]].strip()
-            n = re.search(rf"(?:^|(?<= ))(?:{MARKED_NO.pattern}|{NUM})$", head)
-            if n:
-                if MARKED_NO.fullmatch(n[0]) or not n[0].isalnum():
-                    out.append(("#", n.start(), n.end()))
-                elif (v := number(n[0])) is not None:
-                    out.append((f"?{v - page}", n.start(), n.end()))
-            s = skeleton(PAGE_NO.sub("", head) if PAGE_NO.fullmatch(head) else head)
-            if len(s) >= 4:
-                out += [("=" + s, 0, len(head)), *([(f"~{s[:6]} {s[-6:]}", 0, len(head))] if len(s) >= 12 else [])]
-            break
+        if not words[k][2][0].islower():
+            at.append(k)
+    two = [(bare(words[k][2]), bare(words[k + 1][2])) for k in at]
+    # The first common beginning; without one, all places of seldom ones, of which another page tells the right one.
+    common = [k for k, (a, b) in zip(at, two) if f"{a} {b}" in lex.starts][:1]
+    for k in common or [k for k, (a, b) in zip(at, two) if lex.begins(a, b)]:
+        head = text[: words[k][0]].strip()
+        n = re.search(rf"(?:^|(?<= ))(?:{MARKED_NO.pattern}|{NUM})$", head)
+        if n:
+            if MARKED_NO.fullmatch(n[0]) or not n[0].isalnum():
+                out.append(("#", n.start(), n.end()))
+            elif (v := number(n[0])) is not None:
+                out.append((f"?{v - page}", n.start(), n.end()))
+        s = skeleton(PAGE_NO.sub("", head) if PAGE_NO.fullmatch(head) else head)
+        if len(s) >= 4:
+            out += [("=" + s, 0, len(head)), *([(f"~{s[:6]} {s[-6:]}", 0, len(head))] if len(s) >= 12 else [])]
     tail = re.search(r"[.!?。][\"”»)]? ?([^.!?。\n][^!?。\n]{0,90})$", text[-140:])
     if tail and not tail[1].rstrip().endswith((".", "。")):
         frag, end = tail[1].strip(), len(text.rstrip())
@@ -440,20 +455,20 @@ def corpus(texts: DataFrame) -> tuple:
     got = pairs.filter((F.col("kind") == 0) & (F.col("n") >= max(2, int(np.ceil(total * PAIR_PHI))))).toPandas().sort_values("k")
     floor = max(4, int(np.ceil(total * 2e-5)))
     base = len(words) + 1
-    first = pairs.filter((F.col("kind") == 1) & (F.col("n") >= floor)).toPandas()
-    starts = [f"{words[k // base][0]} {words[k % base][0]}" for k in first.k]
-    return words, (got.k.to_numpy(np.int64), got.n.to_numpy(np.int64)), starts
+    first = pairs.filter("kind = 1").select("k", (F.col("n") >= floor).alias("common")).toPandas().sort_values("k")
+    starts = [f"{words[k // base][0]} {words[k % base][0]}" for k in first.k[first.common]]
+    return words, (got.k.to_numpy(np.int64), got.n.to_numpy(np.int64)), starts, first.k.to_numpy(np.int64)
 
 
 _LEX: dict[int, Lexicon] = {}
 
 
 def _lex(given) -> Lexicon:
-    words, pairs, starts = given.value
-    key = hash((len(words), len(starts), int(pairs[1].sum()) if len(pairs[1]) else 0, words[0][0] if words else ""))
+    words, pairs, starts, seldom = given.value
+    key = hash((len(words), len(starts), len(seldom), int(pairs[1].sum()) if len(pairs[1]) else 0, words[0][0] if words else ""))
     if key not in _LEX:
         _LEX.clear()
-        _LEX[key] = Lexicon(words, pairs, starts)
+        _LEX[key] = Lexicon(words, pairs, starts, seldom)
     return _LEX[key]
 
 

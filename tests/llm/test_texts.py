@@ -178,3 +178,15 @@ def test_confusions_are_undone_at_any_length():
             want = {v: round(c, 3) for v in words if v != read and lex.n[v] > 20 * lex.n.get(read, 0) and (c := scans.distance(read, v)) <= lim}
             assert {v: round(c, 3) for v, c in lex.candidates(read)} == want
     assert lex.candidates("m" * 5000) == []
+
+
+def test_headers_before_seldom_beginnings(spark):
+    clean, _ = pages()
+    seldom = [(f"clean/s{i}.pdf", 1, f"{ENGLISH[0]} Silver boats carried the spare key.") for i in range(3)]
+    df = spark.createDataFrame(clean + seldom, "path string, page int, text string")
+    rows = [(f"scan/{f}.pdf#{p}", f"scan/{f}.pdf", p, f"{head} Silver boats carried the spare key.") for f, head in (("h", "Ilmar Dovrel Archive"), ("n", "[4]"), ("o", "")) for p in (1, 2)]
+    pas = spark.createDataFrame([(a, b, c, t.strip()) for a, b, c, t in rows], "passage_id string, path string, page int, text string")
+    got = {(r.path, r.page): r.kind for r in scans.found(df, pas).collect()}
+    assert got == {("scan/h.pdf", 1): "header", ("scan/h.pdf", 2): "header", ("scan/n.pdf", 1): "number", ("scan/n.pdf", 2): "number"}
+    text = {r.passage_id: r.text for r in scans.repaired(df, pas).collect()}
+    assert text["scan/h.pdf#1"] == text["scan/o.pdf#1"] == "Silver boats carried the spare key."
