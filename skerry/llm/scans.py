@@ -170,7 +170,7 @@ class Lexicon:
                 for v in self.index.get(x, ()):
                     if v != w and v not in best and abs(len(v) - len(w)) <= 2 and self.n[v] > 20 * mine:
                         best[v] = distance(w, v)
-            self.found[w] = sorted(((v, c) for v, c in best.items() if c <= lim), key=lambda x: (x[1], -self.n[x[0]]))[:5]
+            self.found[w] = sorted(((v, c) for v, c in best.items() if c <= lim), key=lambda x: (x[1], -self.n[x[0]]))
         return self.found[w]
 
     def fix(self, w: str, prev: str, nxt: str) -> str | None:

@@ -190,3 +190,15 @@ def test_headers_before_seldom_beginnings(spark):
     assert got == {("scan/h.pdf", 1): "header", ("scan/h.pdf", 2): "header", ("scan/n.pdf", 1): "number", ("scan/n.pdf", 2): "number"}
     text = {r.passage_id: r.text for r in scans.repaired(df, pas).collect()}
     assert text["scan/h.pdf#1"] == text["scan/o.pdf#1"] == "Silver boats carried the spare key."
+
+
+def test_context_picks_among_all_candidates():
+    import numpy as np
+
+    common = ["biicl", "bncl", "buci", "buct", "buel", "hucl"]
+    words = sorted([("bud", 5), ("the", 900), *((w, 100) for w in common)])
+    at = {w: i for i, (w, _) in enumerate(words)}
+    pairs = np.array([at["the"] * (len(words) + 1) + at["bud"]], np.int64), np.array([4], np.int64)
+    lex = scans.Lexicon(words, pairs, [])
+    assert {v for v, _ in lex.candidates("bucl")} == {"bud", *common}
+    assert lex.fix("bucl", "the", "") == "bud"
