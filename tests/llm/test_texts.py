@@ -119,6 +119,16 @@ def test_repeated_rare_words_are_stuffed(spark):
     assert share[9100] > 0.9 and share[9101] > 0.9 and share[9102] == 0 and share[9103] == 0
 
 
+def test_tags_and_links_are_units(spark):
+    rnd = random.Random(8)
+    tags = " ".join(f"#tag{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}x" for _ in range(40))
+    links = "\n".join(f"shop.deal{rnd.randrange(99)}-store.example/p/{rnd.randrange(999)}" for _ in range(30))
+    more = [(9200, tags), (9201, links), (9202, documents()[0][1] + " #one #two #three"), (9203, "\n".join(f"{rnd.randrange(99)} #1 {rnd.randrange(99)} &#233; {rnd.randrange(999)}" for _ in range(30)))]
+    df = spark.createDataFrame([(i, t) for i, t, _ in documents()] + more, "doc_id bigint, text string")
+    share = {r.doc_id: r.share for r in spam.stuffed(df).filter("doc_id >= 9200").collect()}
+    assert share[9200] > 0.9 and share[9201] > 0.9 and share[9202] < 0.5 and share[9203] == 0
+
+
 def pages():
     rnd = random.Random(4)
     rows = []
