@@ -46,6 +46,7 @@ class Sparse:
 class Dense:
     enabled: bool = False
     embedder: str = "hash"
+    model: str | None = None
     dim: int = 256
 
 

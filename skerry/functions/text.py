@@ -45,6 +45,28 @@ def terms(c: Column) -> Column:
     return F.concat(latin, F.flatten(F.transform(runs, bigrams)))
 
 
+# Words that the English analyzer leaves out.
+ENGLISH_STOPS = (
+    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
+).split()
+
+
+def analyzed(c: Column, language: str) -> Column:
+    """Terms by the rules of a language, before stemming: ``en`` leaves out possessives and stop words and parts
+    Chinese, Japanese and Korean characters; all others are ``terms``."""
+    if language != "en":
+        return terms(c)
+    latin = F.regexp_extract_all(F.lower(F.regexp_replace(c, f"[{CJK}]+", " ")), F.lit(_FAST), F.lit(0))
+    latin = F.transform(latin, lambda t: F.regexp_replace(t, "['’]s$", ""))
+    single = F.regexp_extract_all(c, F.lit(f"[{CJK}]"), F.lit(0))
+    return F.concat(F.filter(latin, lambda t: (t != "") & ~t.isin(ENGLISH_STOPS)), single)
+
+
+def stemmed(language: str) -> bool:
+    """Whether a language's analyzer stems: English, and the mixed ones (``en+zh``, ``multi``, ``cjk``)."""
+    return language == "en" or "+" in language or language in ("multi", "cjk")
+
+
 def basename(c: Column) -> Column:
     return F.substring_index(c, "/", -1)
 

@@ -27,6 +27,14 @@ def folders(paths: DataFrame) -> DataFrame:
     return out.select("folder", T.parent_of(F.col("folder")).alias("parent"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_files", "n_subfolders")))
 
 
+def contents(paths: DataFrame) -> DataFrame:
+    """``folder, kind, item``: the names of the files and subfolders a folder holds itself, as rows, so that a folder of
+    any size is no single value."""
+    every = ancestors(paths).select("folder").distinct().filter("folder <> ''")
+    subs = every.select(T.parent_of(F.col("folder")).alias("folder"), F.lit("subfolder").alias("kind"), F.col("folder").alias("item"))
+    return subs.unionByName(paths.select("path").distinct().select(T.parent_of(F.col("path")).alias("folder"), F.lit("file").alias("kind"), F.col("path").alias("item")))
+
+
 def tokens(paths: DataFrame) -> DataFrame:
     """``folder, kind, token``: distinct words of a folder's own name and of the names of its files."""
     every = ancestors(paths).select("folder").distinct().filter("folder <> ''")
@@ -39,9 +47,10 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.name_tokens(F.coalesce("query", F.lit(""))))).alias("token"))
 
 
-def scores(paths: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, folder, score`` above 0: 2 for a word of the name, 1 for a word of a file name."""
-    hit = tokens(paths).join(small(query_tokens(queries)), "token")
+def scores(paths: DataFrame, queries: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """``query_id, folder, score`` above 0: 2 for a word of the name, 1 for a word of a file name. ``named``: the result of
+    ``tokens``, if it is at hand."""
+    hit = (tokens(paths) if named is None else named).join(small(query_tokens(queries)), "token")
     return hit.groupBy("query_id", "folder").agg(F.sum(F.when(F.col("kind") == "name", NAME_WEIGHT).otherwise(FILE_WEIGHT)).alias("score"))
 
 
@@ -76,17 +85,24 @@ def best_folders(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("folder_rank", F.row_number().over(w)).filter(F.col("folder_rank") <= n)
 
 
-def search(paths: DataFrame, queries: DataFrame, k: int = 10, hops: int = 1, max_folders: int = 5) -> DataFrame:
-    """``query_id, rank, path, passage_id, score, snippet``: files of the folders that fit a query best."""
+def search(paths: DataFrame, queries: DataFrame, k: int = 10, hops: int = 1, max_folders: int = 5, tree: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+    """``query_id, rank, path, passage_id, score, snippet``: files of the folders that fit a query best. ``tree`` and
+    ``named``: the results of ``folders`` and ``tokens``, if they are at hand.
+
+    A folder gives its best ``2 k`` files only: of these at most ``k - 1`` can stand in better folders, so no other
+    can be among the ``k``. They are picked within tasks before anything is shuffled.
+    """
     paths = paths.select("path").distinct()
-    seeds = best_folders(scores(paths, queries), max(1, max_folders)).select("query_id", "folder", "score")
-    ranked = best_folders(expand(folders(paths), seeds, hops), max(1, max_folders))
+    seeds = best_folders(scores(paths, queries, named), max(1, max_folders)).select("query_id", "folder", "score")
+    ranked = best_folders(expand(folders(paths) if tree is None else tree, seeds, hops), max(1, max_folders))
     qt = query_tokens(queries).groupBy("query_id").agg(F.collect_set("token").alias("qt"))  # the words of one query
-    hit = ancestors(paths).join(small(ranked.join(qt, "query_id")), "folder")
+    hit = ancestors(paths).join(small(cut(ranked.join(qt, "query_id"))), "folder")
     overlap = F.size(F.array_intersect(F.array_distinct(T.name_tokens(T.basename(F.col("path")))), F.col("qt")))
-    order = F.struct("folder_rank", (-overlap).alias("o"), T.depth_first_key(F.col("path")).alias("key"))
-    first = hit.groupBy("query_id", "path").agg(F.min(F.struct(order.alias("order"), "score")).alias("m"))
-    w = Window.partitionBy("query_id").orderBy("m.order")
+    hit = hit.select("query_id", "folder_rank", "score", "path", F.struct((-overlap).alias("o"), T.depth_first_key(F.col("path")).alias("key")).alias("order"))
+    w = Window.partitionBy("query_id", "folder_rank").orderBy("order")
+    hit = hit.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * max(1, k))
+    first = hit.groupBy("query_id", "path").agg(F.min(F.struct("folder_rank", "order", "score")).alias("m"))
+    w = Window.partitionBy("query_id").orderBy("m.folder_rank", "m.order")
     out = first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     folder = T.parent_of(F.col("path"))
     note = F.concat(F.lit('co-located in folder "'), F.when(folder == "", "/").otherwise(folder), F.lit('" (metadata graph match)'))
@@ -112,12 +128,31 @@ def notes(paths: DataFrame) -> DataFrame:
     return head.unionByName(up).unionByName(down).unionByName(own)
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """``src, dst``: links ``[[name]]`` in lines of notes, both ways."""
-    out = lines.select("note", F.explode(F.regexp_extract_all("line", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))).alias("to")).select(F.col("note").alias("src"), F.concat("to", F.lit(".md")).alias("dst")).distinct()
+def links(lines: DataFrame, notes_: DataFrame | None = None) -> DataFrame:
+    """``src, dst``: links ``[[name]]`` in lines of notes, both ways; what follows ``|`` (another wording) or ``#`` (a heading)
+    isn't part of the name. With ``notes_`` (``path``) a name that is no path of a note stands for the note of that name in
+    whatever folder, of several for the first by path; a link to no note leads nowhere."""
+    raw = lines.select("note", F.explode(F.regexp_extract_all("line", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))).alias("to"))
+    name = F.trim(F.regexp_extract("to", r"^([^|#]*)", 1))
+    out = raw.select(F.col("note").alias("src"), F.when(F.lower(name).endswith(".md"), name).otherwise(F.concat(name, F.lit(".md"))).alias("dst"), (name == "").alias("own")).filter("NOT own").select("src", "dst").distinct()
+    if notes_ is not None:
+        every = notes_.select("path").distinct()
+        names = every.groupBy(T.basename(F.col("path")).alias("name")).agg(F.min("path").alias("by_name"))
+        out = out.join(every, F.col("dst") == F.col("path"), "left").join(names, F.col("dst") == F.col("name"), "left")
+        out = out.select("src", F.coalesce("path", "by_name").alias("dst")).filter("dst IS NOT NULL AND src <> dst").distinct()
     return out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def listed(text: DataFrame, col: str = "text") -> DataFrame:
+    """``path``: the notes a listing of a note program names: JSON (an array, or one name) or lines; only Markdown; a
+    listing that begins with an error or with ``no`` is empty."""
+    t = F.trim(F.regexp_replace(col, r"^\s+|\s+$", ""))
+    good = text.select(t.alias("t")).filter("t <> '' AND NOT lower(t) LIKE 'error:%' AND NOT lower(t) LIKE 'no %'")
+    one = F.when(F.col("t").rlike(r'^"(?:[^"\\]|\\.)*"$'), F.from_json(F.concat(F.lit("["), "t", F.lit("]")), "array<string>"))
+    items = F.coalesce(F.when(F.col("t").startswith("["), F.from_json("t", "array<string>")), one, F.split("t", r"\r?\n"))
+    return good.select(F.explode(items).alias("path")).select(F.trim("path").alias("path")).filter("path <> '' AND lower(path) LIKE '%.md'")
+
+
 def expand_links(edges: DataFrame, seeds: DataFrame, hops: int, decay: float = NOTE_DECAY) -> DataFrame:
     """``query_id, node, score`` over undirected edges, by rounds of join and maximum; ends with the hops."""
     ranked = seeds.select("query_id", "node", F.col("score").cast("double").alias("score"))

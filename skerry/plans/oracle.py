@@ -125,6 +125,7 @@ QT = f"qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unne
 TOK = "tok AS (SELECT passage_id, field, dl, unnest(terms) AS term FROM f)"
 BOOSTS = CONF.sparse.field_boosts
 SPARSE = f"{fields()}, {TOK}, {QT}, {scoring('qt', BOOSTS, 10, 'tok')}"
+POOLED = f"{fields()}, {TOK}, {QT}, {scoring('qt', BOOSTS, 20, 'tok')}"
 PRF = f"""{SPARSE}, tot AS (SELECT query_id, sum(score) AS total FROM hits GROUP BY 1), seed AS (SELECT query_id, passage_id, score / CASE WHEN total = 0 THEN 1 ELSE total END AS w FROM hits JOIN tot USING (query_id)),
     tf AS (SELECT s.query_id, s.passage_id, s.w, t.dl, t.term, count(*) AS tf FROM tok t JOIN seed s USING (passage_id) WHERE t.field = 'contents' GROUP BY ALL),
     rm AS (SELECT query_id, term, round(sum(w * tf / dl), 9) AS rm FROM tf GROUP BY ALL),
@@ -138,6 +139,7 @@ HASHED = f"""hb AS (SELECT passage_id, CAST('0x' || substr(md5(w), 1, 2) AS INT)
 DENSE = f"""{HASHED}, qb AS (SELECT query_id, CAST('0x' || substr(md5(w), 1, 2) AS INT) AS bucket, count(*) AS n FROM (SELECT query_id, unnest({words("query")}) AS w FROM queries) GROUP BY ALL),
     qv AS (SELECT query_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS qw FROM qb), ds AS (SELECT query_id, passage_id, round(sum(weight * qw), 6) AS score FROM hv JOIN qv USING (bucket) GROUP BY ALL),
     near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM ds) WHERE rank <= 10)"""
+DENSE20 = DENSE.replace("rank <= 10", "rank <= 20")
 ANC = f"anc AS (SELECT path, unnest(list_transform(range(0, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS folder FROM {PATHS})"
 FOLD = f"""{ANC}, fo AS (SELECT DISTINCT folder FROM anc UNION SELECT ''), own AS (SELECT {parent("path")} AS folder, count(*) AS n FROM {PATHS} GROUP BY 1), sub AS (SELECT {parent("folder")} AS folder, count(*) AS n FROM fo WHERE folder <> '' GROUP BY 1),
     tree AS (SELECT folder, {parent("folder")} AS parent, coalesce(own.n, 0) AS n_files, coalesce(sub.n, 0) AS n_subfolders FROM fo LEFT JOIN own USING (folder) LEFT JOIN sub USING (folder))"""
@@ -154,6 +156,7 @@ def hop(src: str, out: str, decay: float, edges: str = "nb", node: str = "folder
 GRAPH = f"""{FOLD}, {FTOK}, {hop("seeds", "h1", 0.5)}, rf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, folder) AS fr FROM h1) WHERE fr <= 5),
     gq AS (SELECT query_id, list(token) AS qt FROM qtk GROUP BY 1), gh AS (SELECT query_id, path, fr, score, len(list_intersect(list_distinct({name_tokens(base("path"))}), qt)) AS ov, {dfs("path")} AS key FROM anc JOIN rf USING (folder) JOIN gq USING (query_id)),
     g1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY fr, ov DESC, key) AS pr FROM gh), g2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fr, ov DESC, key) AS rank FROM g1 WHERE pr = 1), graph AS (SELECT * FROM g2 WHERE rank <= 10)"""
+GRAPH20 = GRAPH.replace("rank <= 10", "rank <= 20")
 SL = "sl AS (SELECT DISTINCT query_id, rank, doc_id, passage_id, score FROM hits JOIN (SELECT DISTINCT passage_id, doc_id FROM passages) USING (passage_id)), dl_ AS (SELECT query_id, rank, doc_id, passage_id, score FROM near JOIN (SELECT DISTINCT passage_id, doc_id FROM passages) USING (passage_id))"
 
 
@@ -169,7 +172,10 @@ def glob_match(c: str, patterns) -> str:
 
 _TYPES = ", ".join(q(t) for t in TEXT_TYPES)
 KIND = f"CASE WHEN {ext('path')} IN ({_TYPES}) THEN 'text' WHEN {ext('path')} IN ('pdf', 'docx', 'pptx', 'xlsx') THEN {ext('path')} ELSE 'name only' END"
-MD = "md AS (SELECT path, min(text) AS text FROM passages WHERE ordinal = 0 AND lower(path) LIKE '%.md' GROUP BY 1)"
+MD = """m0 AS (SELECT path, page, ordinal, coalesce(min(text), '') AS text FROM passages WHERE lower(path) LIKE '%.md' GROUP BY ALL),
+    m1 AS (SELECT *, row_number() OVER (PARTITION BY path, page ORDER BY ordinal) AS nth FROM m0),
+    m2 AS (SELECT path, ordinal, CASE WHEN nth = 1 THEN text ELSE array_to_string(string_split(text, ' ')[65:], ' ') END AS t FROM m1),
+    md AS (SELECT path, string_agg(t, ' ' ORDER BY ordinal, t) AS text FROM m2 GROUP BY 1)"""
 UP = f"up AS (SELECT path AS a, CASE WHEN {parent('path')} = '' THEN '_root' ELSE {parent('path')} END || '.md' AS b FROM md), nb AS (SELECT a, b FROM up UNION SELECT b, a FROM up)"
 LINKS = f"""{FOLD}, up AS (SELECT CASE WHEN folder = '' THEN '_root' ELSE folder END AS f, CASE WHEN parent = '' THEN '_root' ELSE parent END AS p FROM tree WHERE parent IS NOT NULL),
     li AS (SELECT f || '.md' AS src, translate(p, '[]', '()') || '.md' AS dst FROM up UNION SELECT p || '.md', translate(f, '[]', '()') || '.md' FROM up)"""
@@ -186,7 +192,16 @@ SEEDS = f"""bo AS (SELECT path, {BODY} AS body FROM md), qw AS (SELECT DISTINCT
     s0 AS (SELECT query_id, path AS node, 1.0::DOUBLE / r AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nw DESC, n DESC, path) AS r FROM hi) WHERE r <= 10)"""
 
 
+TERM_STATS = f"WITH {fields()}, {TOK}, po AS (SELECT field, term, passage_id, dl, count(*) AS tf FROM tok GROUP BY ALL) SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS ttf FROM po GROUP BY ALL"
+PARTS = f"WITH {HASHED} SELECT passage_id, bucket, round(weight, 6) AS weight FROM hv"
+
 ORACLES: dict[str, str] = {
+    "walk_extract": """SELECT DISTINCT doc_id || '.txt' AS path, strlen(text) AS size, sha256(text) AS content_hash, NULL::INT AS page,
+        CASE WHEN length(regexp_replace(text, '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g')) > 0 THEN text END AS text FROM documents WHERE text IS NOT NULL""",
+    "vectors_build": PARTS,
+    "vectors_update": PARTS,
+    "embed_cache_put": "SELECT DISTINCT sha1('hash-256' || chr(0) || text) AS key, 'hash-256' AS model, 256 AS dim, 256 AS n FROM passages WHERE text IS NOT NULL",
+    "folder_contents": f"SELECT {parent('path')} AS folder, 'file' AS kind, path AS item FROM {PATHS} UNION ALL SELECT {parent('folder')}, 'subfolder', folder FROM (WITH {FOLD} SELECT folder FROM fo WHERE folder <> '')",
     "manifest_current": f"SELECT * FROM {latest()}",
     "files_scan": f"SELECT path, {base('path')} AS filename, {ext('path')} AS ext, size, mtime FROM {latest()}",
     "include_exclude_filter": f"SELECT path, {glob_match('path', CONF.include)} AND NOT {glob_match('path', CONF.exclude)} AND NOT regexp_matches(path, '(^|/)\\.git(/|$)') AS kept FROM {PATHS}",
@@ -200,10 +215,16 @@ ORACLES: dict[str, str] = {
     "path_fields": f"SELECT path, {spaced(base('path'))} AS filename, {spaced('path')} AS pathtext FROM {PATHS}",
     "tokenize": f"SELECT word, count(*) AS n, count(DISTINCT passage_id) AS passages FROM (SELECT passage_id, unnest({words('text')}) AS word FROM {PASS}) GROUP BY 1",
     "analyze_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({terms('text')}) AS term FROM {PASS}) GROUP BY 1",
+    "analyze_terms_en": f"""WITH a AS (SELECT text FROM {PASS} WHERE text IS NOT NULL), la AS (SELECT unnest(regexp_extract_all(lower(regexp_replace(text, {q(f'[{T.CJK}]+')}, ' ', 'g')), {q(T.TERM)})) AS term FROM a),
+        lb AS (SELECT regexp_replace(term, '[''’]s$', '') AS term FROM la),
+        t AS (SELECT term, count(*) AS n FROM (SELECT term FROM lb WHERE term <> '' AND term NOT IN ({", ".join(map(q, "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()))}) UNION ALL SELECT unnest(regexp_extract_all(text, {q(f'[{T.CJK}]')})) FROM a) GROUP BY 1),
+        {stem_cte('t')} SELECT stem, sum(n)::BIGINT AS n FROM t JOIN voc USING (term) GROUP BY 1""",
     "analyze_stems": f"WITH t AS (SELECT term, count(*) AS n FROM (SELECT unnest({terms('text')}) AS term FROM {PASS}) GROUP BY 1), {stem_cte('t')} SELECT stem, sum(n)::BIGINT AS n, count(*) AS forms FROM t JOIN voc USING (term) GROUP BY 1",
     "cjk_bigrams": f"SELECT bigram, count(*) AS n FROM (SELECT unnest(CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END) AS bigram FROM (SELECT unnest(regexp_extract_all(text, {q(f'[{T.CJK}]+')})) AS r FROM {PASS})) GROUP BY 1",
+    "index_build": TERM_STATS,
+    "index_update": TERM_STATS,
     "postings": f"WITH {fields()}, {TOK} SELECT field, term, passage_id, dl, count(*)::INT AS tf FROM tok GROUP BY ALL",
-    "term_stats": f"WITH {fields()}, {TOK}, po AS (SELECT field, term, passage_id, dl, count(*) AS tf FROM tok GROUP BY ALL) SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS ttf FROM po GROUP BY ALL",
+    "term_stats": TERM_STATS,
     "field_stats": f"WITH {fields()} SELECT field, count(*) AS n_docs, sum(dl)::BIGINT AS sum_ttf FROM f GROUP BY 1",
     "bm25_contents": f"WITH {fields()}, {TOK}, {QT}, {scoring('qt', {'contents': 1.0}, 10, 'tok')} SELECT query_id, rank, passage_id, score FROM hits",
     "bm25_multifield": f"WITH {SPARSE} SELECT query_id, rank, passage_id, score FROM hits",
@@ -229,8 +250,8 @@ ORACLES: dict[str, str] = {
         be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node) AS rank FROM k1) WHERE rank <= 10)
         SELECT query_id, rank, node AS path, round(score, 6) AS score, coalesce(nullif({snip("b", "qr")}, ''), {stem_name("node")}) AS snippet FROM (SELECT be.*, coalesce(body, '') AS b, coalesce(query, '') AS qr FROM be LEFT JOIN bo ON node = path JOIN queries USING (query_id))""",
     "highlight": f"SELECT DISTINCT passage_id, regexp_replace(substr(text, 1, 240), '(?i)(The|committee|\\(GARDEN\\))', '<mark>\\1</mark>', 'g') AS marked FROM {PASS} WHERE text IS NOT NULL",
-    "rrf_fusion": f"WITH {SPARSE}, {DENSE}, {SL}, {rrf({'sparse': 'sl', 'dense': 'dl_'})}",
-    "hybrid_search": f"WITH {SPARSE}, {DENSE}, {SL}, {GRAPH.replace(' own AS', ' fown AS').replace('JOIN own ', 'JOIN fown ').replace('own.n,', 'fown.n,').replace(' fs AS', ' gfs AS').replace('FROM fs)', 'FROM gfs)')}, gl AS (SELECT query_id, rank, path AS doc_id, path || '#0' AS passage_id, score FROM graph), {rrf({'sparse': 'sl', 'dense': 'dl_', 'graph': 'gl'})}",
+    "rrf_fusion": f"WITH {POOLED}, {DENSE20}, {SL}, {rrf({'sparse': 'sl', 'dense': 'dl_'})}",
+    "hybrid_search": f"WITH {POOLED}, {DENSE20}, {SL}, {GRAPH20.replace(' own AS', ' fown AS').replace('JOIN own ', 'JOIN fown ').replace('own.n,', 'fown.n,').replace(' fs AS', ' gfs AS').replace('FROM fs)', 'FROM gfs)')}, gl AS (SELECT query_id, rank, path AS doc_id, path || '#0' AS passage_id, score FROM graph), {rrf({'sparse': 'sl', 'dense': 'dl_', 'graph': 'gl'})}",
     "result_metadata": f"WITH {SPARSE}, {DENSE}, {SL} SELECT query_id, rank, passage_id, sl.doc_id AS path, {base('sl.doc_id')} AS filename, {ext('sl.doc_id')} AS ext, '/data/' || sl.doc_id AS abs_path, size, mtime FROM sl LEFT JOIN {latest()} m ON m.path = sl.doc_id",
     "change_detection": f"SELECT * FROM {delta()}",
     "deleted_files": f"SELECT path FROM {delta(latest('indexed_version > 20'))} WHERE change = 'deleted'",

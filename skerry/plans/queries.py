@@ -9,8 +9,9 @@ from skerry.config import Config
 from skerry.functions import porter
 from skerry.functions import text as T
 from skerry.operators import chunks, dense, folders, fusion, manifest, sparse
-from skerry.plans import globs
-from skerry.sources import extract
+from skerry.plans import globs, index
+from skerry.sources import extract, files
+from skerry.sources.store import Store
 from skerry.tables import cut, table
 
 CONF = Config()
@@ -19,7 +20,7 @@ VAULT_MODEL = "hash-64"
 
 
 def _passages(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "passages").select("passage_id", "doc_id", "path", "ordinal", "page", "offset", "text").distinct()
+    return index.passages(s, d)
 
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
@@ -56,6 +57,16 @@ def extract_dispatch(s, d):
     return _paths(s, d).select("path", extract.kind(F.col("path")).alias("extractor"))
 
 
+def walk_extract(s, d):
+    """Documents written as files, found by a walk with their sizes, opened and read."""
+    root = index.folder(s, "files")
+    files.write_texts(table(s, d, "documents").filter("text IS NOT NULL").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text").distinct(), root)
+    found = files.scan(s, root)
+    read = files.opened(root, found.withColumn("content_hash", F.lit(None).cast("string")))
+    pages = read.select("path", "content_hash", F.explode_outer("pages").alias("p")).select("path", "content_hash", "p.page", "p.text")
+    return found.select("path", "size").join(pages, "path")
+
+
 def content_hash(s, d):
     return table(s, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
 
@@ -106,39 +117,77 @@ def cjk_bigrams(s, d):
     return runs.select(F.explode(T.bigrams(F.col("run"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
+def analyze_terms_en(s, d):
+    t = _passages(s, d).select(F.explode(T.analyzed(F.col("text"), "en")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return t.join(porter.stems(t), "term").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+def _stored(s, d, language=sparse.PLAIN):
+    return sparse.live(index.store(s, d, language))
+
+
 def postings(s, d):
-    return sparse.postings(_passages(s, d))
+    return _stored(s, d).select("field", "term", "passage_id", "dl", "tf")
 
 
 def term_stats(s, d):
-    return sparse.term_stats(sparse.postings(_passages(s, d)))
+    return sparse.term_stats(_stored(s, d))
 
 
 def field_stats(s, d):
-    return sparse.field_stats(sparse.fields(_passages(s, d)))
+    return index.postings(s, d).stats
+
+
+def index_build(s, d):
+    """Statistics of an index as stored."""
+    store = Store(s, index.folder(s, "build"))
+    store.commit(**sparse.built(store, _passages(s, d), sparse.PLAIN))
+    return sparse.term_stats(store.table("postings"))
+
+
+def _before(p: DataFrame) -> DataFrame:
+    """The passages as an earlier run may have seen them: no notes yet, text files with other words, and files that are gone."""
+    old = p.filter("lower(path) NOT LIKE '%.md'").withColumn("text", F.when(F.lower("path").endswith(".txt"), F.concat(F.lit("stale words "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    gone = p.filter("lower(path) LIKE '%.csv'").withColumn("path", F.concat(F.lit("gone/"), "path")).withColumn("passage_id", F.concat(F.lit("gone/"), "passage_id"))
+    return old.unionByName(gone)
+
+
+def _changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.unionByName(new).select("path").distinct().filter("lower(path) LIKE '%.md' OR lower(path) LIKE '%.txt' OR path LIKE 'gone/%'")
+
+
+def index_update(s, d):
+    """An index of earlier texts, brought up to date, has the statistics of a new one."""
+    p = _passages(s, d)
+    old, store = cut(_before(p)), Store(s, index.folder(s, "update"))
+    store.commit(**sparse.built(store, old, sparse.PLAIN))
+    changed = cut(_changed(old, p))
+    pick = lambda rows: rows.join(changed, "path", "left_semi")
+    store.commit(**sparse.updated(store, changed, pick(old), pick(p), sparse.PLAIN))
+    return sparse.term_stats(sparse.live(store))
 
 
 def bm25_contents(s, d):
-    return sparse.bm25(_passages(s, d), sparse.query_terms(_queries(s, d)), boosts={"contents": 1.0})
+    return sparse.bm25(index.postings(s, d), sparse.query_terms(_queries(s, d)), boosts={"contents": 1.0})
 
 
-def bm25_multifield(s, d):
-    return sparse.bm25(_passages(s, d), sparse.query_terms(_queries(s, d)))
+def bm25_multifield(s, d, k=10):
+    return sparse.bm25(index.postings(s, d), sparse.query_terms(_queries(s, d)), k)
 
 
 def bm25_stemmed(s, d):
-    return sparse.bm25(_passages(s, d), sparse.query_terms(_queries(s, d)), stem=True)
+    i = index.postings(s, d, CONF.sparse.language)
+    return sparse.bm25(i, sparse.query_terms(_queries(s, d), i.language))
 
 
 def prf_terms(s, d):
-    p, q = _passages(s, d), _queries(s, d)
-    index = cut(sparse.fields(p))
-    seeds = cut(sparse.bm25(p, sparse.query_terms(q), CONF.sparse.fb_docs, index=index).select("query_id", "passage_id", "score"))
-    return sparse.expansion(p, q, seeds, index=index).withColumn("weight", F.round("weight", 6))
+    i, q = index.postings(s, d), _queries(s, d)
+    seeds = cut(sparse.bm25(i, sparse.query_terms(q), CONF.sparse.fb_docs).select("query_id", "passage_id", "score"))
+    return sparse.expansion(i, q, seeds).withColumn("weight", F.round("weight", 6))
 
 
 def bm25_prf(s, d):
-    return sparse.bm25_prf(_passages(s, d), _queries(s, d))
+    return sparse.bm25_prf(index.postings(s, d), _queries(s, d))
 
 
 def hash_embed(s, d):
@@ -146,8 +195,34 @@ def hash_embed(s, d):
     return e.select(F.col("id").alias("passage_id"), "bucket", F.round("weight", 6).alias("weight"))
 
 
-def hash_dense_search(s, d):
-    return dense.hash_search(_passages(s, d), _queries(s, d))
+def hash_dense_search(s, d, k=10):
+    return dense.search(index.vectors(s, d), _queries(s, d), k, above=0.0)
+
+
+def _parts(v: DataFrame) -> DataFrame:
+    return v.select("passage_id", F.posexplode("vec").alias("bucket", "weight")).filter("weight <> 0").withColumn("weight", F.round("weight", 6))
+
+
+def vectors_build(s, d):
+    """Vectors as stored."""
+    store = Store(s, index.folder(s, "vectors"))
+    store.commit(**dense.built(store, _passages(s, d), kind="double"))
+    return _parts(store.table("vectors"))
+
+
+def vectors_update(s, d):
+    """Vectors of earlier texts, brought up to date; what the cache has isn't made again."""
+    p = _passages(s, d)
+    old, store = cut(_before(p)), Store(s, index.folder(s, "vectors"))
+    store.commit(**dense.built(store, old, kind="double"))
+    changed = cut(_changed(old, p))
+    store.commit(**dense.updated(store, changed, p.join(changed, "path", "left_semi"), kind="double"))
+    return _parts(store.table("vectors"))
+
+
+def embed_cache_put(s, d):
+    """What the store of vectors has put into its cache."""
+    return index.store(s, d, "vectors").table("cache").select("key", "model", "dim", F.size("vec").alias("n"))
 
 
 def dense_topk(s, d):
@@ -167,6 +242,10 @@ def folder_tree(s, d):
     return folders.folders(_paths(s, d))
 
 
+def folder_contents(s, d):
+    return folders.contents(_paths(s, d))
+
+
 def folder_tokens(s, d):
     return folders.tokens(_paths(s, d))
 
@@ -189,8 +268,8 @@ def graph_hop_expand(s, d):
     return folders.expand(folders.folders(p), seeds, 2)
 
 
-def graph_search(s, d):
-    return folders.search(_paths(s, d), _queries(s, d), 10, CONF.graph.hops, CONF.graph.max_folders)
+def graph_search(s, d, k=10):
+    return folders.search(_paths(s, d), _queries(s, d), k, CONF.graph.hops, CONF.graph.max_folders)
 
 
 def vault_notes(s, d):
@@ -202,7 +281,9 @@ def kb_links(s, d):
 
 
 def _kb(s, d):
-    n = table(s, d, "passages").filter("ordinal = 0 AND lower(path) LIKE '%.md'").select("path", "text").distinct().groupBy("path").agg(F.min("text").alias("text"))
+    """Notes as a whole, put together from their windows, each linked with the note of its folder."""
+    p = table(s, d, "passages").filter("lower(path) LIKE '%.md'").select("path", "page", "ordinal", "text").distinct()
+    n = chunks.whole(p, CONF.chunk.size, CONF.chunk.overlap)
     folder = T.parent_of(F.col("path"))
     up = n.select(F.col("path").alias("src"), F.concat(F.when(folder == "", "_root").otherwise(folder), F.lit(".md")).alias("dst"))
     return n, up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -228,14 +309,20 @@ def highlight(s, d):
     return _passages(s, d).filter("text IS NOT NULL").select("passage_id", T.highlight(T.snippet(F.col("text")), F.lit("The committee (GARDEN) a 5")).alias("marked")).distinct()
 
 
-def _sparse_list(s, d):
-    p = table(s, d, "passages").select("passage_id", "doc_id").distinct()
-    return bm25_multifield(s, d).join(p, "passage_id").select("query_id", "rank", "doc_id", "passage_id", "score")
+POOL = 20  # hits of each list that fusion sees at least
+
+
+def _with_doc(s, d, hits):
+    p = table(s, d, "passages").select("passage_id", "doc_id")
+    return hits.join(p.join(F.broadcast(hits.select("passage_id").distinct()), "passage_id", "left_semi").distinct(), "passage_id").select("query_id", "rank", "doc_id", "passage_id", "score")
+
+
+def _sparse_list(s, d, k=POOL):
+    return _with_doc(s, d, bm25_multifield(s, d, k))
 
 
-def _dense_list(s, d):
-    p = table(s, d, "passages").select("passage_id", "doc_id").distinct()
-    return hash_dense_search(s, d).join(p, "passage_id").select("query_id", "rank", "doc_id", "passage_id", "score")
+def _dense_list(s, d, k=POOL):
+    return _with_doc(s, d, hash_dense_search(s, d, k))
 
 
 def rrf_fusion(s, d):
@@ -243,12 +330,12 @@ def rrf_fusion(s, d):
 
 
 def hybrid_search(s, d):
-    g = graph_search(s, d).select("query_id", "rank", F.col("path").alias("doc_id"), "passage_id", "score")
+    g = graph_search(s, d, POOL).select("query_id", "rank", F.col("path").alias("doc_id"), "passage_id", "score")
     return fusion.reciprocal_rank({"sparse": _sparse_list(s, d), "dense": _dense_list(s, d), "graph": g})
 
 
 def result_metadata(s, d):
-    r = _sparse_list(s, d).withColumnRenamed("doc_id", "path")
+    r = _sparse_list(s, d, 10).withColumnRenamed("doc_id", "path")
     return manifest.metadata(r, _manifest(s, d), "/data/").select("query_id", "rank", "passage_id", "path", "filename", "ext", "abs_path", "size", "mtime")
 
 
@@ -290,9 +377,9 @@ def manifest_lookup(s, d):
     return _passages(s, d).join(want, "path", "left_semi").select("path", "ordinal", "passage_id", "page", "offset")
 
 
-NAMES = """manifest_current files_scan include_exclude_filter extract_dispatch content_hash clean_text textual_ratio chunk_passages chunk_pages
-stub_passages path_fields tokenize analyze_terms analyze_stems cjk_bigrams postings term_stats field_stats bm25_contents bm25_multifield bm25_stemmed
-prf_terms bm25_prf hash_embed hash_dense_search dense_topk embed_cache_keys embed_cache_hits folder_tree folder_tokens folder_scores folder_neighbors
+NAMES = """manifest_current files_scan walk_extract include_exclude_filter extract_dispatch content_hash clean_text textual_ratio chunk_passages chunk_pages
+stub_passages path_fields tokenize analyze_terms analyze_terms_en analyze_stems cjk_bigrams index_build index_update postings term_stats field_stats bm25_contents bm25_multifield bm25_stemmed
+prf_terms bm25_prf hash_embed vectors_build vectors_update embed_cache_put hash_dense_search dense_topk embed_cache_keys embed_cache_hits folder_tree folder_contents folder_tokens folder_scores folder_neighbors
 folder_subtree_files graph_hop_expand graph_search vault_notes kb_links kb_expand kb_search kb_snippet highlight rrf_fusion hybrid_search result_metadata
 change_detection deleted_files removed_passages incremental_apply index_report staleness index_stats manifest_lookup""".split()
 

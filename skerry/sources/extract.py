@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
+import shutil
+import subprocess
 import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
@@ -11,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.config import IMAGE_TYPES, Ingest
 from skerry.functions import text as T
 
 # Extensions read as plain text.
@@ -98,18 +102,67 @@ def xlsx(data: bytes) -> list[tuple[int | None, str]]:
     return out
 
 
-def pdf(data: bytes) -> list[tuple[int | None, str]]:
-    """With a PDF reader installed, a page a page; without one the file stays known by name."""
+def pdf(data: bytes, conf: Ingest = Ingest()) -> list[tuple[int | None, str]]:
+    """With a PDF reader installed, a page a page; a page with little text is read from its picture, if that is asked
+    for and a reader of pictures is registered. Without a PDF reader the file stays known by name."""
     try:
         import fitz
     except ImportError:
         return []
+    out = []
     with fitz.open(stream=data, filetype="pdf") as doc:
-        return [(i, t) for i, p in enumerate(doc, 1) if (t := p.get_text()).strip()]
+        for n, page in enumerate(doc, 1):
+            text = page.get_text()
+            if conf.ocr and OCR and len(text.strip()) < conf.ocr_min_chars:
+                text = OCR[0](page.get_pixmap(dpi=200).tobytes("png")) or text
+            if text.strip():
+                out.append((n, text))
+    return out
+
 
+def doc(data: bytes) -> list[tuple[int | None, str]]:
+    """Old Word files, by a converter of the system if there is one; else they stay known by name."""
+    for tool, args in (("textutil", ["-convert", "txt", "-stdout", "-stdin"]), ("antiword", ["-"]), ("catdoc", ["-"])):
+        if shutil.which(tool):
+            got = subprocess.run([tool, *args], input=data, capture_output=True, timeout=60)
+            text = got.stdout.decode("utf-8", "replace") if got.returncode == 0 else ""
+            return [(None, text)] if text.strip() else []
+    return []
+
+
+def text(data: bytes) -> list[tuple[int | None, str]]:
+    """Strict UTF-8, else nothing."""
+    try:
+        t = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return []
+    return [(None, t)] if t.strip() else []
 
-READERS: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "pdf": pdf}
+
+READERS: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] = {"text": text, "docx": docx, "pptx": pptx, "xlsx": xlsx, "pdf": pdf, "doc": doc}
 """By kind; others may be registered."""
+OCR: list[Callable[[bytes], str]] = []
+"""At most one reader of pictures: from the bytes of a picture to its text."""
+
+
+def reader(path: str, conf: Ingest = Ingest()) -> Callable | None:
+    """What reads a file, by its extension in either case; pictures only where that is asked for and a reader is registered."""
+    ext = os.path.splitext(path.rsplit("/", 1)[-1])[1][1:].lower()
+    if ext in IMAGE_TYPES and ext not in READERS:
+        return (lambda data: [(None, t)] if (t := OCR[0](data)).strip() else []) if conf.ocr and OCR else None
+    if ext == "pdf":
+        return lambda data: READERS["pdf"](data, conf) if READERS["pdf"] is pdf else READERS["pdf"](data)
+    return READERS.get("text" if ext in TEXT_TYPES else ext)
+
+
+def supported(path: str, conf: Ingest = Ingest()) -> bool:
+    return reader(path, conf) is not None
+
+
+def read(path: str, data: bytes, conf: Ingest = Ingest()) -> list[tuple[int | None, str]]:
+    """Pages of a file; none for a kind without a reader."""
+    f = reader(path, conf)
+    return f(data) if f else []
 
 
 def pages(files: DataFrame) -> DataFrame:
@@ -124,13 +177,13 @@ def pages(files: DataFrame) -> DataFrame:
             rows = []
             for path, data, k in zip(*(c.to_pylist() for c in b.columns)):
                 try:
-                    rows += [(path, n, t) for n, t in READERS[k](data)]
+                    rows += [(path, n, t) for n, t in read(path, data)]
                 except Exception:  # noqa: BLE001 - a broken file is known by its name only
                     continue
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["path", "page", "text"])
 
-    other = files.filter(F.col("kind").isin(list(READERS))).select("path", "content", "kind").mapInArrow(run, "path string, page int, text string")
+    other = files.filter(F.col("kind").isin([k for k in READERS if k != "text"])).select("path", "content", "kind").mapInArrow(run, "path string, page int, text string")
     return plain.unionByName(other)
 
 

@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skerry.engine import PASSAGE, Engine
 from skerry.operators import chunks
-from skerry.sources.store import Store
 
 
-def index_stream(pages: DataFrame, store: Store, checkpoint: str, size: int = 512, overlap: int = 64) -> StreamingQuery:
-    """Each micro-batch of ``doc_id, page, text`` replaces the passages of its documents in a new version of the
-    store. A batch that was committed before a failure is told by its number and not applied again."""
+def index_stream(pages: DataFrame, engine: Engine, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of ``doc_id, page, text`` replaces the passages of its documents in a new version of the engine's
+    store, and brings files, folders, postings and vectors up to date with them. Only parts that hold such documents
+    are written anew. A batch that was committed before a failure is told by its number and not applied again."""
+    conf = engine.conf.chunk
 
     def apply(batch: DataFrame, number: int) -> None:
-        meta = store.meta()
-        if meta.get("batch", -1) >= number:
+        if engine.store.meta().get("batch", -1) >= number:
             return
-        new = chunks.chunk(batch.select("doc_id", "page", "text"), size, overlap)
-        if store.exists():
-            kept = store.table("passages").join(batch.select(F.col("doc_id").cast("string").alias("path")).distinct(), "path", "left_anti")
-            new = kept.select(*new.columns).unionByName(new)
-        store.commit({"passages": new}, batch=number)
+        from skerry.tables import cut
+
+        batch = cut(batch.select(F.col("doc_id").cast("string").alias("doc_id"), "page", "text").filter("doc_id IS NOT NULL"))
+        new = cut(chunks.chunk(batch, conf.size, conf.overlap).select(*PASSAGE))
+        docs = batch.groupBy(F.col("doc_id").alias("path")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("size"))
+        n, now = new.groupBy("path").agg(F.count("*").cast("int").alias("n_passages")), time.time()
+        rows = docs.join(n, "path", "left").select(
+            "path", "size", F.lit(now).alias("mtime"), F.lit(None).cast("string").alias("content_hash"), F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.lit(engine.store.version + 1).alias("indexed_version"), F.lit(now).alias("indexed_at")
+        )
+        errors: list[str] = []
+        engine._commit(cut(docs.select("path")), new, cut(rows), False, errors, source=engine.root, last_indexed_at=now, batch=number)
 
     return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

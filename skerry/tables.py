@@ -1,9 +1,10 @@
-"""Reading tables and cutting lineage."""
+"""Reading tables, cutting lineage, and what every operator asks about the size of a side."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors must see. Only a session that runs in one
+    process may do without: it gets a temporary one."""
+    sc = spark.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    if named.isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+            folder = tempfile.mkdtemp(prefix="skerry-ckpt-")
+        sc.setCheckpointDir(folder)
+        named = sc._jsc.sc().getCheckpointDir()
+    return named.get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_folder(spark)}/skerry-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skerry-ckpt-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -35,3 +54,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for rows of a few short columns, only if there are few enough of them; else the planner
     shuffles. For a side that is dear to compute, ``cut`` it first: it is counted here."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def distinct_rows(df: DataFrame, key: str) -> DataFrame:
+    """``df.distinct()`` for rows that are told apart by ``key`` but for repeated ones: only the keys and the rows of
+    repeated keys are shuffled, not the texts of all others. Null keys count as repeated."""
+    again = cut(df.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("again")))
+    if again.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return df.distinct()
+    same = F.col(key).eqNullSafe(F.col("again"))
+    once = df.join(F.broadcast(again), same, "left_anti")
+    return once.unionByName(df.join(F.broadcast(again), same, "left_semi").distinct())
