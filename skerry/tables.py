@@ -38,10 +38,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/skerry-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own switch for dropping the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation. The shuffle files of
+    that run aren't needed after it, and Spark drops them at its end."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def tidy(spark: SparkSession) -> None:
