@@ -7,7 +7,8 @@ its least value, and rounds go on only while bins are empty; from round ``SIZE``
 coordinate with a probability equal to the Jaccard similarity, with concentration bounds, and a
 sketch costs time about linear in the text. Bands of coordinates give candidates; one bit of each
 coordinate travels along, so that pairs far below the threshold are dropped inside the join; what
-is left is verified exactly on the shingles.
+is left is verified exactly on the shingles. A band that many classes share, such as that of a
+template, is joined in blocks.
 
 Texts with the same words form a class: only one member of it per task sends bands, only classes
 are compared, and members are joined back at the end. So a text that a third of all rows share
@@ -28,9 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.tables import cut, small, table, tidy
+from skerry.tables import cut, small, table
 
 SIZE, ROWS = 128, 4  # coordinates of a sketch, coordinates of a band
+#: Runs in which the bands are joined, each with its share of them: what is shuffled at once shrinks with them.
+RUNS = 2
+#: Classes of a band, or passages of a class, that a task compares among themselves; larger ones are cut into blocks that
+#: meet each other in tasks of their own. Hot bands are told from a sample of one class in ``SAMPLE``.
+HOT, SAMPLE = 4_000, 64
 WORD = re.compile(r"\w+")
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -139,23 +145,40 @@ def _side(df: DataFrame, s: str, *more: str) -> DataFrame:
     return df.select(*(F.col(c).alias(s + c) for c in (*CLASS, *more)))
 
 
+def _blocks(rows: DataFrame, key: str, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a self-join of ``rows`` on ``key`` and ``block``. ``sizes`` (``key, blocks``) names the keys that have too
+    many rows for a task: one side's rows go to a block each by a hash, the other's to all blocks of their key."""
+    if sizes.isEmpty():
+        one = rows.withColumn("block", F.lit(0))
+        return one, one
+    known = rows.join(small(sizes), key, "left")
+    n = F.coalesce("blocks", F.lit(1))
+    left = known.withColumn("block", F.pmod(F.xxhash64(*CLASS), n).cast("int"))
+    return left.drop("blocks"), known.withColumn("block", F.explode(F.sequence(F.lit(0), n.cast("int") - 1))).drop("blocks")
+
+
 def class_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``(members, pairs)``: members ``id, f, s0, s1``; pairs of classes ``a*, b*, jaccard`` with different words."""
     members = cut(_members(df, id_col, text_col, shingle, min_words))
-    # One bit of each coordinate agrees with probability (1 + J) / 2; five standard deviations are allowed below that.
+    # One bit of each coordinate agrees with probability (1 + J) / 2; four standard deviations are allowed below that,
+    # which loses 3 in 100,000 of the pairs at the threshold and none above it.
     p = (1 + threshold) / 2
-    differ = int(SIZE * (1 - p) + 5 * (SIZE * p * (1 - p)) ** 0.5)
-    bands = members.select(F.explode("bands").alias("band"), *CLASS)
+    differ = int(SIZE * (1 - p) + 4 * (SIZE * p * (1 - p)) ** 0.5)
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bands = bands.repartition(n, "band").distinct()
-    a, b = _side(bands, "a", "band"), _side(bands, "b", "band")
-    cand = (
-        a.join(b, (F.col("aband") == F.col("bband")) & (F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))) + F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1"))) <= differ) & (F.struct("af", "as0", "as1") < F.struct("bf", "bs0", "bs1")))
-        .select("af", "as0", "as1", "bf", "bs0", "bs1")
-        .distinct()
-    )
-    cand = cut(cand)
-    tidy(df.sparkSession)  # the shuffled bands are the largest files of the job
+    found = None
+    for run in range(RUNS):
+        # ``seen`` of a task holds most copies back; the rest meet here.
+        mine = F.filter("bands", lambda _, i: i % RUNS == run)
+        bands = members.select(F.explode(mine).alias("band"), *CLASS)
+        few = bands.filter(F.pmod(F.xxhash64("f"), F.lit(SAMPLE)) == 0).groupBy("band").agg(F.count_distinct(*CLASS).alias("n"))
+        hot = cut(few.filter(F.col("n") * SAMPLE > HOT / 2).select("band", F.ceil(F.col("n") * SAMPLE / HOT).cast("int").alias("blocks")))
+        left, right = _blocks(bands.repartition(n, "band").distinct(), "band", hot)
+        a, b = _side(left, "a", "band", "block"), _side(right, "b", "band", "block")
+        alike = F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))) + F.bit_count(F.col("as1").bitwiseXOR(F.col("bs1"))) <= differ
+        got = a.join(b, (F.col("aband") == F.col("bband")) & (F.col("ablock") == F.col("bblock")) & alike & (F.struct("af", "as0", "as1") < F.struct("bf", "bs0", "bs1")))
+        got = cut(got.select("af", "as0", "as1", "bf", "bs0", "bs1").distinct())
+        found = got if found is None else found.unionByName(got)
+    cand = cut(found.distinct())
     used = cand.select(*(F.col("a" + c).alias(c) for c in CLASS)).union(cand.select(*(F.col("b" + c).alias(c) for c in CLASS))).distinct()
     used = cut(used)
     ids = members.select("id", *CLASS).join(small(used), list(CLASS)).groupBy(*CLASS).agg(F.min("id").alias("id"))
@@ -193,15 +216,21 @@ def pairs(df: DataFrame, id_col: str = "passage_id", text_col: str = "text", shi
     members, found = class_pairs(df, id_col, text_col, shingle, min_words, threshold)
     a, b = _side(members, "a", "id"), _side(members, "b", "id")
     other = found.join(a, ["a" + c for c in CLASS]).join(b, ["b" + c for c in CLASS]).select("aid", "bid", "jaccard")
-    same = a.join(b, [F.col("a" + c) == F.col("b" + c) for c in CLASS] + [F.col("aid") < F.col("bid")]).select("aid", "bid", F.lit(1.0).alias("jaccard"))
+    sized = members.groupBy(*CLASS).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(*CLASS, F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
+    copies = members.join(sized, list(CLASS))  # only classes of several passages; one side block by block, the other in all blocks
+    left = copies.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    right = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a, b = _side(left, "a", "id", "block"), _side(right, "b", "id", "block")
+    same = a.join(b, [F.col("a" + c) == F.col("b" + c) for c in (*CLASS, "block")] + [F.col("aid") < F.col("bid")]).select("aid", "bid", F.lit(1.0).alias("jaccard"))
     every = other.unionByName(same)
     return every.filter("aid <> bid").select(F.least("aid", "bid").alias("id_a"), F.greatest("aid", "bid").alias("id_b"), "jaccard").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """``node, root``: connected components by alternating large-star and small-star, each round cut from its lineage."""
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``node, root``: connected components by alternating large-star and small-star until nothing changes, each round cut
+    from its lineage; rounds grow with the logarithm of the longest chain."""
     e = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct())
-    for _ in range(rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(m, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()

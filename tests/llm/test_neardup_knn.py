@@ -58,6 +58,23 @@ def test_one_text_in_a_third_of_all_rows(spark):
     assert len(got) == 400 and {r.class_id for r in got} == {"k0"} and {r.links for r in got} == {0}
 
 
+def test_hot_bands_and_classes_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "SAMPLE", 1)
+    rnd = random.Random(6)
+    body = [f"t{i}" for i in range(60)]
+    rows = [(f"m{i:03d}", " ".join([*body, *(f"x{rnd.randrange(10_000)}" for _ in range(rnd.randrange(2, 12)))])) for i in range(40)]
+    rows += [(f"same{i}", rows[0][1]) for i in range(20)] + texts(20)
+    df = spark.createDataFrame(rows, "passage_id string, text string")
+    assert {(r.id_a, r.id_b) for r in neardup.pairs(df).collect()} == brute(rows)
+
+
+def test_long_chains_are_one_group(spark):
+    e = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(150)], "a string, b string")
+    got = {r.node: r.root for r in neardup.components(e, "a", "b").collect()}
+    assert len(got) == 150 and set(got.values()) == {"n000"}
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([("a", None), (None, "x y z")], "passage_id string, text string")
     assert neardup.pairs(df).count() == 0 and neardup.pairs(df.limit(0)).count() == 0 and neardup.groups(df).count() == 0
