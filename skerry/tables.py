@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a few short columns may be broadcast (some tens of MB at most).
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side may be broadcast.
+BROADCAST_BYTES = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,24 +55,28 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a side that is small enough, by the bytes of its values; else the planner shuffles. For a side that
+    is dear to compute, ``cut`` it first: it is measured here."""
+    def width(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind == "string" or kind == "binary":
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if kind.startswith("array"):
+            return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * 24 + 16
+        return F.lit(8)
 
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for rows of a few short columns, only if there are few enough of them; else the planner
-    shuffles. For a side that is dear to compute, ``cut`` it first: it is counted here."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    each = reduce(lambda a, b: a + b, (width(n, k) for n, k in df.dtypes), F.lit(16))
+    size = df.agg(F.sum(each.cast("bigint")).alias("n")).first().n or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def distinct_rows(df: DataFrame, key: str) -> DataFrame:
     """``df.distinct()`` for rows that are told apart by ``key`` but for repeated ones: only the keys and the rows of
     repeated keys are shuffled, not the texts of all others. Null keys count as repeated."""
     again = cut(df.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("again")))
-    if again.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    few = small(again)
+    if few is again:
         return df.distinct()
     same = F.col(key).eqNullSafe(F.col("again"))
-    once = df.join(F.broadcast(again), same, "left_anti")
-    return once.unionByName(df.join(F.broadcast(again), same, "left_semi").distinct())
+    return df.join(few, same, "left_anti").unionByName(df.join(few, same, "left_semi").distinct())
