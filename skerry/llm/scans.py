@@ -8,6 +8,8 @@ signs, ranks them; the neighbours decide between a rare word and a misread commo
 whole is a word and the parts aren't. A line at the top or bottom of a page is a running header or
 footer if the same letters stand there on another page of the file; page numbers are told by form.
 
+Headers, footers and misread words may be of any length.
+
 The lexicon covers all texts and keeps the words above the relative frequency ``PHI``, so at most
 ``1 / PHI`` of them; the same goes for pairs. Headers are matched by joins on keys of their letters,
 never by collecting a file.
@@ -19,7 +21,9 @@ Cases: null, empty and blank texts give no rows, a null page is kept apart from
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.tables import cut, table
+from skerry.tables import cut, small, table
 
 PHI, PAIR_PHI = 1 / 400_000, 1 / 1_000_000
 HYPHENS = "-‐‑¬=­"
@@ -35,6 +39,7 @@ STRAY = "§~^¦*•|°_\\<>#"
 EDGE = "\"'“”‘’„«»‹›()[]{},;:!?.…—–/"
 CJK = re.compile(r"[㐀-鿿]")
 SPLIT = re.compile(rf"([^\W\d_]+)([{re.escape(HYPHENS)}])(\s*\n\s*|\s)([^\W\d_]+)")
+PARTED = re.compile(rf"[{re.escape(HYPHENS)}]\s")
 INNER = re.compile(rf"(?<=[^\W_])[{re.escape(STRAY)}](?=[^\W_])")
 SPACED = re.compile(r"(?<![\w'’])(?:[^\W\d_] ){2,}[^\W\d_](?![\w'’])")
 NUM = r"(?:[0-9lIOoSB]{1,4}|[ivxlc]{1,7})"
@@ -50,7 +55,7 @@ HEADING = re.compile(r"\d+\.(?:\d+\.?)* ")
 CONFUSED = [
     ("c", "e"), ("0", "o"), ("1", "l"), ("l", "1"), ("1", "i"), ("5", "s"), ("8", "b"), ("9", "g"), ("6", "b"), ("b", "h"), ("h", "b"), ("f", "t"), ("t", "f"), ("ſ", "s"), ("í", "i"), ("á", "a"),
     ("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"), ("ri", "n"), ("n", "ri"), ("iii", "m"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("fi", "ﬁ"), ("li", "h"), ("h", "li"), ("nn", "m"), ("l", "i"), ("i", "l"), ("e", "c"),
-    ("class", "dass"), ("n", "н"), ("a", "а"), ("o", "о"), ("e", "е"), ("c", "с"), ("p", "р"), ("x", "х"), ("y", "у"), ("п", "н"), ("н", "п"), ("щ", "ш"), ("ш", "щ"), ("б", "6"), ("6", "б"), ("0", "о"), ("3", "з"), ("и", "н"), ("н", "и"), ("ь", "ъ"), ("l", "t"), ("g", "9"), ("u", "n"), ("n", "u"), ("v", "y"), ("ó", "o"), ("é", "e"), ("ú", "u"),
+    ("n", "н"), ("a", "а"), ("o", "о"), ("e", "е"), ("c", "с"), ("p", "р"), ("x", "х"), ("y", "у"), ("п", "н"), ("н", "п"), ("щ", "ш"), ("ш", "щ"), ("б", "6"), ("6", "б"), ("0", "о"), ("3", "з"), ("и", "н"), ("н", "и"), ("ь", "ъ"), ("l", "t"), ("g", "9"), ("u", "n"), ("n", "u"), ("v", "y"), ("ó", "o"), ("é", "e"), ("ú", "u"),
 ]
 COST = {x: 0.4 for x in CONFUSED}
 BY_READ: dict[str, list[str]] = defaultdict(list)
@@ -68,11 +73,71 @@ def skeleton(s: str) -> str:
     return s
 
 
-def deletes(w: str, most: int) -> set[str]:
-    out = {w}
-    for k in range(1, most + 1):
-        out.update("".join(c) for c in combinations(w, len(w) - k))
-    return out
+class Deletes:
+    """Symmetric-delete index as two sorted arrays: hashes of all words, whole and with one character left out, and the
+    words they come from. Hashes are polynomials of the characters, so those of all words of a length are made at once."""
+
+    B = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, words: list[str]):
+        self.words, self.longest = words, max(map(len, words), default=0)
+        keys, ids = [], []
+        by_len: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            by_len[len(w)].append(i)
+        for n, group in by_len.items():
+            x = np.array([list(map(ord, words[i])) for i in group], np.uint64).reshape(len(group), n)
+            own = np.array(group, np.int32)
+            for drop in (None, *range(n)):
+                keys.append(self.hashed(x if drop is None else np.delete(x, drop, 1)))
+                ids.append(own)
+        k, i = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((keys, np.uint64), (ids, np.int32)))
+        order = np.argsort(k, kind="stable")
+        self.keys, self.ids = k[order], i[order]
+
+    def hashed(self, x: np.ndarray) -> np.ndarray:
+        h = np.full(len(x), x.shape[1] + 1, np.uint64)
+        for j in range(x.shape[1]):
+            h = h * self.B + x[:, j]
+        return h
+
+    def near(self, w: str) -> list[str]:
+        """Words that ``w`` gives, or one of them with a character left out, when up to two characters of ``w`` are left out."""
+        n = len(w)
+        if n > self.longest + 2:
+            return []  # what is left is longer than any word
+        pre, pw = [0], [1]
+        for ch in w:
+            pre.append((pre[-1] * int(self.B) + ord(ch)) & 0xFFFFFFFFFFFFFFFF)
+            pw.append(pw[-1] * int(self.B) & 0xFFFFFFFFFFFFFFFF)
+        pre, pw = np.array(pre, np.uint64), np.array(pw, np.uint64)
+        # A polynomial without some of its terms is put together from those of the stretches between them.
+        h = [np.uint64(n + 1) * pw[n : n + 1] + pre[n:]]
+        if n > 1:
+            i = np.arange(n)
+            h.append(np.uint64(n) * pw[n - 1 : n] + pre[i] * pw[n - 1 - i] + pre[n:] - pre[i + 1] * pw[n - 1 - i])
+        if n > 2:
+            i, j = _two(n)
+            h.append(np.uint64(n - 1) * pw[n - 2 : n - 1] + pre[i] * pw[n - 2 - i] + (pre[j] - pre[i + 1] * pw[j - i - 1]) * pw[n - 1 - j] + pre[n:] - pre[j + 1] * pw[n - 1 - j])
+        h = np.concatenate(h)
+        lo = np.searchsorted(self.keys, h, "left")
+        hit = lo < len(self.keys)
+        hit[hit] = self.keys[lo[hit]] == h[hit]
+        if not hit.any():
+            return []
+        out: set[int] = set()
+        for a, k in zip(lo[hit].tolist(), h[hit]):
+            b = a + 1
+            while b < len(self.keys) and self.keys[b] == k:
+                b += 1
+            out.update(self.ids[a:b].tolist())
+        return [self.words[i] for i in sorted(out)]
+
+
+@lru_cache(32)
+def _two(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two characters of a word of ``n``."""
+    return np.triu_indices(n, 1)
 
 
 def undone(w: str, most: int, longest: int) -> dict[str, float]:
@@ -130,13 +195,8 @@ class Lexicon:
         self.keys, self.counts = pairs
         self.starts = set(starts)
         self.seldom = np.zeros(0, np.int64) if seldom is None else seldom
-        self.index: dict[str, list[str]] = defaultdict(list)
-        self.meant: set[str] = set()
-        for w, n in words:
-            if len(w) >= 2 and w.replace("'", "").replace("’", "").isalpha() and not CJK.search(w):
-                self.meant.add(w)
-                for x in deletes(w, 1 if len(w) < 5 or len(w) > 14 else 2):
-                    self.index[x].append(w)
+        self.meant = {w for w, _ in words if len(w) >= 2 and w.replace("'", "").replace("’", "").isalpha() and not CJK.search(w)}
+        self.index = Deletes(sorted(self.meant))
         self.longest = max(map(len, self.meant), default=0)
         self.found: dict[str, list[tuple[str, float]]] = {}
         self.fine: dict[str, bool] = {}
@@ -166,10 +226,9 @@ class Lexicon:
             mine = self.n.get(w, 0)
             lim = 0.45 if len(w) <= 3 else 0.85
             best = {v: c for v, c in undone(w, 1 if lim < 0.8 else 2, self.longest).items() if v in self.meant and v != w and self.n[v] > 20 * mine}
-            for x in deletes(w, 2 if 3 <= len(w) <= 16 else 1) if len(w) <= 24 else ():
-                for v in self.index.get(x, ()):
-                    if v != w and v not in best and abs(len(v) - len(w)) <= 2 and self.n[v] > 20 * mine:
-                        best[v] = distance(w, v)
+            for v in self.index.near(w):
+                if v != w and v not in best and self.n[v] > 20 * mine:
+                    best[v] = distance(w, v)
             self.found[w] = sorted(((v, c) for v, c in best.items() if c <= lim), key=lambda x: (x[1], -self.n[x[0]]))
         return self.found[w]
 
@@ -202,7 +261,7 @@ def split_word(a: str, sign: str, b: str, lex: Lexicon) -> bool:
     whole = lex.n.get(la + lb, 0)
     if CJK.search(a + b):
         return False
-    if sign != "-" and sign != "‐" and sign != "‑":
+    if sign in "¬\u00ad":  # signs with no other meaning
         return True
     if whole and whole >= 3 * lex.n.get(f"{la}-{lb}", 0):
         return True
@@ -213,6 +272,11 @@ def split_word(a: str, sign: str, b: str, lex: Lexicon) -> bool:
     return lb not in lex.n or bool(lex.candidates(la + lb)) or la not in lex.n and lex.n.get(lb, 0) < 1000
 
 
+def _single(w: str) -> bool:
+    """Whether a word begins with a letter that stands alone."""
+    return w[:1].isalpha() and not (w[1:2].isalnum() or w[1:2] in tuple("_'’"))
+
+
 def repair_text(text: str, lex: Lexicon) -> tuple[str, set[str]]:
     """The text with words joined and misread ones put right, and the kinds of noise met."""
     kinds: set[str] = set()
@@ -223,7 +287,7 @@ def repair_text(text: str, lex: Lexicon) -> tuple[str, set[str]]:
             return m[1] + m[4]
         return m[0]
 
-    if any(h in text for h in HYPHENS):
+    if PARTED.search(text):
         text = SPLIT.sub(join, text)
 
     def close(m: re.Match) -> str:
@@ -233,10 +297,12 @@ def repair_text(text: str, lex: Lexicon) -> tuple[str, set[str]]:
             return w
         return m[0]
 
-    if " " in text:
-        text = SPACED.sub(close, text)
     toks = re.split(r"(\s+)", text)
     words = toks[::2]
+    if any(w.isalpha() and _single(words[i - 1][::-1]) and _single(words[i + 1]) for i, w in enumerate(words[1:-1], 1) if len(w) == 1):
+        text = SPACED.sub(close, text)
+        toks = re.split(r"(\s+)", text)
+        words = toks[::2]
     fine = lex.fine
     odd = [i for i, w in enumerate(words) if not fine.get(w, False)]
     if not odd:
@@ -288,7 +354,7 @@ def repair_text(text: str, lex: Lexicon) -> tuple[str, set[str]]:
             words[i], words[i + 1] = w + words[i + 1], ""
             skip = i + 1
             continue
-        if MIXED.search(core) or b.isdigit() or re.fullmatch(r"[a-zа-я]{2}-\d+[a-f]?", b):
+        if MIXED.search(core) or b.isdigit():
             continue
         if any(ch.isdigit() for ch in b):
             # Digits among letters; codes with a dash and short ones such as B12 are left.
@@ -341,23 +407,24 @@ def edges(text: str, passage: bool, lex: Lexicon, page: int) -> list[tuple[str,
             a, b, line = spans[k]
             if PAGE_NO.fullmatch(line):
                 out.append(("#", a, b))
-            elif len(line) < 90 and line[-1] not in ".。,;:!?" and not HEADING.match(line):
+            elif line[-1] not in ".。,;:!?" and not HEADING.match(line):
                 s = skeleton(line)
                 if len(s) >= 4:
                     out.append(("=" + s, a, b))
                     if len(s) >= 12:
                         out.append((f"~{s[:6]} {s[-6:]}", a, b))
         return out
-    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text[:400])][:14]
     m = MARKED_NO.match(text)
     if m:
         out.append(("#", 0, m.end()))
-    at = []
-    for k in range(1, len(words) - 1) if not HEADING.match(text) else ():
-        if words[k - 1][2][-1] in ".。!?" and not re.fullmatch(r"p\.|[A-Z]\.", words[k - 1][2]):
+    # Words up to the end of the first sentence: what stands before its beginning may be a header of any length.
+    words, at = [], []
+    for w in re.finditer(r"\S+", text) if not HEADING.match(text) else ():
+        words.append((w.start(), w.end(), w[0]))
+        if len(words) > 2 and words[-3][2][-1] in ".。!?" and not re.fullmatch(r"p\.|[A-Z]\.", words[-3][2]):
             break
-        if not words[k][2][0].islower():
-            at.append(k)
+        if len(words) > 2 and not words[-2][2][0].islower():
+            at.append(len(words) - 2)
     two = [(bare(words[k][2]), bare(words[k + 1][2])) for k in at]
     # The first common beginning; without one, all places of seldom ones, of which another page tells the right one.
     common = [k for k, (a, b) in zip(at, two) if f"{a} {b}" in lex.starts][:1]
@@ -372,19 +439,39 @@ def edges(text: str, passage: bool, lex: Lexicon, page: int) -> list[tuple[str,
         s = skeleton(PAGE_NO.sub("", head) if PAGE_NO.fullmatch(head) else head)
         if len(s) >= 4:
             out += [("=" + s, 0, len(head)), *([(f"~{s[:6]} {s[-6:]}", 0, len(head))] if len(s) >= 12 else [])]
-    tail = re.search(r"[.!?。][\"”»)]? ?([^.!?。\n][^!?。\n]{0,90})$", text[-140:])
-    if tail and not tail[1].rstrip().endswith((".", "。")):
-        frag, end = tail[1].strip(), len(text.rstrip())
-        start = end - len(frag)
+    for start in footers(text):
+        frag, end = text[start:].rstrip(), len(text.rstrip())
         if PAGE_NO.fullmatch(frag):
             out.append(("#", start, end))
-        else:
-            n = re.search(rf"{MARKED_NO.pattern}$| [0-9lIO]{{1,4}}$", frag)
-            s = skeleton(frag[: n.start()] if n else frag)
-            if len(s) >= 4:
-                out += [("=" + s, start, end), *([(f"~{s[:6]} {s[-6:]}", start, end)] if len(s) >= 12 else [])]
-            if n and MARKED_NO.fullmatch(n[0].strip()):
-                out.append(("#", start + n.start(), end))
+            continue
+        n = re.search(rf"{MARKED_NO.pattern}$| [0-9lIO]{{1,4}}$", frag)
+        s = skeleton(frag[: n.start()] if n else frag)
+        if len(s) >= 4 and frag[-1] not in ",;:":
+            out += [("=" + s, start, end), *([(f"~{s[:6]} {s[-6:]}", start, end)] if len(s) >= 12 else [])]
+        if n and MARKED_NO.fullmatch(n[0].strip()):
+            out.append(("#", start + n.start(), end))
+    return out
+
+
+#: The end of a sentence, or of an abbreviation, and what follows it to the next.
+STOP = re.compile(r"[.!?。][\"”»)]? ?(?=[^.!?。\s])")
+
+
+def footers(text: str) -> list[int]:
+    """Where a footer may begin: after the last stop; and if but a word or a figure follows that, which may have been the stop
+    of an abbreviation, after the one before it, and so on. None if the text ends with a stop."""
+    end = len(text.rstrip())
+    if not end or text[end - 1] in ".。!?":
+        return []
+    out, before = [], end
+    for at in reversed([m.span() for m in STOP.finditer(text, 0, end)]):
+        part = text[at[1] : before]
+        if "\n" in part:
+            break
+        out.append(at[1])
+        before = at[0]
+        if len(part.split()) > 1 or text[at[0]] in "!?。":
+            break
     return out
 
 
@@ -460,12 +547,17 @@ def corpus(texts: DataFrame) -> tuple:
     return words, (got.k.to_numpy(np.int64), got.n.to_numpy(np.int64)), starts, first.k.to_numpy(np.int64)
 
 
-_LEX: dict[int, Lexicon] = {}
+_LEX: dict[str, Lexicon] = {}
+
+
+def _give(rows: DataFrame):
+    """The lexicon of the texts, for all tasks, under a name of its own."""
+    return rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *corpus(rows.select("text"))))
 
 
 def _lex(given) -> Lexicon:
-    words, pairs, starts, seldom = given.value
-    key = hash((len(words), len(starts), len(seldom), int(pairs[1].sum()) if len(pairs[1]) else 0, words[0][0] if words else ""))
+    """Set up once a worker."""
+    key, words, pairs, starts, seldom = given.value
     if key not in _LEX:
         _LEX.clear()
         _LEX[key] = Lexicon(words, pairs, starts, seldom)
@@ -504,11 +596,14 @@ def repaired(pages: DataFrame, passages: DataFrame) -> DataFrame:
     running lines and page numbers, and the kinds of noise taken out (``split``, ``misread``, ``stray``,
     ``blank``, ``spaced``, ``header``, ``number``)."""
     rows = sources(pages, passages)
-    given = rows.sparkSession.sparkContext.broadcast(corpus(rows.select("text")))
+    given = _give(rows)
     keys = cut(_edge_keys(rows, given).distinct())
     # The running keys of a page: at most those its own edges have.
     own = keys.join(running(keys), ["path", "key"]).groupBy("path", "page").agg(F.collect_set("key").alias("keys"))
-    full = rows.join(own, ["path", "page"], "left").select("path", "page", "passage_id", "text", "keys")
+    cols = ["path", "page", "passage_id", "text", "keys"]
+    paged, unpaged = rows.filter("page IS NOT NULL"), rows.filter("page IS NULL").withColumn("keys", F.lit(None).cast("array<string>"))
+    # Texts without a page have no running lines, so they stay out of the join: a file may have very many of them.
+    full = paged.join(small(own), ["path", "page"], "left").select(*cols).unionByName(unpaged.select(*cols))
 
     def run(batches):
         lex = _lex(given)
@@ -538,7 +633,7 @@ def found(pages: DataFrame, passages: DataFrame) -> DataFrame:
     """``path, page, kind`` of every numbered page with noise. Texts aren't shuffled: what a text shows by
     itself comes from a narrow pass, running lines from the keys of its edges."""
     rows = sources(pages, passages)
-    given = rows.sparkSession.sparkContext.broadcast(corpus(rows.select("text")))
+    given = _give(rows)
 
     def run(batches):
         lex = _lex(given)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from skerry.llm import langid, mojibake, scans, spam
@@ -170,8 +172,6 @@ def test_distance(read, meant, near):
 
 
 def test_confusions_are_undone_at_any_length():
-    import numpy as np
-
     words = ["turn", "club", "lift", "list", "remember", "updated", "toestemmingsformulier", "communicationmanagement", "illuminated", "committee"]
     lex = scans.Lexicon([(w, 5000) for w in sorted(words)], (np.zeros(0, np.int64), np.zeros(0, np.int64)), [])
     for read, meant in [("tum", "turn"), ("dub", "club"), ("hft", "lift"), ("hst", "list"), ("rernernber", "remember"), ("upclatecl", "updated"), ("toestemmingsformuher", "toestemmingsformulier"), ("comrnunicationrnanagement", "communicationmanagement")]:
@@ -203,8 +203,6 @@ def test_headers_before_seldom_beginnings(spark):
 
 
 def test_context_picks_among_all_candidates():
-    import numpy as np
-
     common = ["biicl", "bncl", "buci", "buct", "buel", "hucl"]
     words = sorted([("bud", 5), ("the", 900), *((w, 100) for w in common)])
     at = {w: i for i, (w, _) in enumerate(words)}
@@ -212,3 +210,38 @@ def test_context_picks_among_all_candidates():
     lex = scans.Lexicon(words, pairs, [])
     assert {v for v, _ in lex.candidates("bucl")} == {"bud", *common}
     assert lex.fix("bucl", "the", "") == "bud"
+
+
+def test_delete_index_finds_all_within_its_reach():
+    rnd = random.Random(2)
+    words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 8))) for _ in range(400)})
+    drop = lambda w, most: {"".join(c for i, c in enumerate(w) if i not in d) for k in range(most + 1) if k < len(w) or not k for d in itertools.combinations(range(len(w)), k)}
+    index = scans.Deletes(words)
+    for w in [*rnd.sample(words, 40), "abcabc", "zzz", "a", "dcbadcba"]:
+        mine = {x for x in drop(w, 2) if x}
+        assert set(index.near(w)) == {v for v in words if mine & {x for x in drop(v, 1) if x or len(v) == 0}}, w
+    assert index.near("x" * 50_000) == [] and scans.Deletes([]).near("abc") == []
+
+
+def test_no_length_is_too_long_for_noise(spark):
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    long_word = "toestemmingsformulierenoverzichtslijst"
+    lex = scans.Lexicon([(w, 900) for w in ("the", "tenant", long_word)], none, ["the tenant"])
+    assert lex.candidates(long_word.replace("m", "rn", 1))[0][0] == long_word and lex.candidates(long_word.replace("i", "1"))[:1] == []
+    assert lex.candidates(long_word.replace("i", "1", 2))[0] == (long_word, 0.8)
+    head = " ".join(f"Heading{chr(97 + i)}" for i in range(24))
+    keys = {k for k, _, _ in scans.edges(f"{head} The tenant kept the spare key. {'All is well. ' * 20}", True, lex, 1)}
+    assert "=" + scans.skeleton(head) in keys
+    foot = " ".join(f"Footing{chr(97 + i)}" for i in range(24))
+    for tail in (foot, f"{foot} vol. 3"):
+        assert "=" + scans.skeleton(tail[:-2] if tail[-1] == "3" else tail) in {k for k, _, _ in scans.edges(f"The tenant kept it. So did we. {tail}", True, lex, 1)}
+        assert scans.footers(f"The tenant kept it. So did we. {tail}")[-1] == len("The tenant kept it. So did we. ")
+    line = " ".join(f"Runningline{chr(97 + i)}" for i in range(12))
+    assert "=" + scans.skeleton(line) in {k for k, _, _ in scans.edges(f"{line}\nThe tenant kept the key\nand the lease.", False, lex, 1)}
+
+
+def test_mail_without_pages_is_repaired_whole(spark):
+    df = spark.createDataFrame([("f", 1, "The tenant kept the key.\nIt is here.")], "path string, page int, text string")
+    pas = spark.createDataFrame([(f"m#{i}", "mail", None, "The tenant kept the key. " * 3) for i in range(300)] + [("n#0", None, None, "The key.")], "passage_id string, path string, page int, text string")
+    got = scans.repaired(df, pas).collect()
+    assert len(got) == 302 and sum(r.path == "mail" and r.page is None for r in got) == 300
