@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.tables import cut, small, table
+from skerry.tables import cut, distinct_rows, small, table
 
 PHI, PAIR_PHI = 1 / 400_000, 1 / 1_000_000
 HYPHENS = "-‐‑¬=­"
@@ -483,6 +483,8 @@ def strip(text: str, cuts: list[tuple[int, int]]) -> str:
 
 def paragraphs(text: str, lex: Lexicon) -> str:
     """Line ends within a paragraph become blanks; blank lines stay."""
+    if "\n" not in text:
+        return text.strip()
     return "\n\n".join(re.sub(r"\s*\n\s*", " ", p).strip() for p in re.split(r"\n[ \t]*\n\s*", text) if p.strip())
 
 
@@ -657,7 +659,8 @@ def found(pages: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repaired(table(spark, sf_dir, "extracted_pages"), table(spark, sf_dir, "passages")).distinct()
+    passages = table(spark, sf_dir, "passages").select("passage_id", "path", "page", "text")
+    return repaired(table(spark, sf_dir, "extracted_pages").distinct(), distinct_rows(passages, "passage_id"))
 
 
 def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
