@@ -36,7 +36,7 @@ END, LINE = 1, 2  # kinds of breaks: sentence end, line end
 #: Of a full sentence: words, of which in small letters (or all in capitals) and no single letters; Chinese characters.
 MIN_WORDS, MIN_SMALL, MIN_CJK = 6, 4, 8
 #: A phrase in quotation marks without a sentence end: words named within a sentence, whatever their language.
-QUOTED = re.compile(r"[\"“„«‹‘][^\"“”„«»‹›‘.!?。！？\n]{1,80}[\"”“»›’]")
+QUOTED = re.compile(r"[\"“„«‹‘][^\"“”„«»‹›‘.!?。！？\n]+[\"”“»›’]")
 SUSPECT = re.compile(r"[�\x80-\x84\x86-\x9f]|[ÃÂâÐÑ][^\sa-zA-Z,.]|[À-ÿ]{3,}|[─-╿]|[ЂЃЉЊЌЋЏђѓљњќћџЎў]|[a-z][А-я]|[А-я][a-z]|[а-я][А-Я]|[-]|[銆鐨涓鏄]")
 
 
@@ -86,7 +86,7 @@ class Model:
         self.vec[i] = 0
         ch = tok[0]
         if ch.isalpha():
-            g = grams(tok.lower()[:64])
+            g = grams(tok.lower())
             self.vec[i] = self.w[g].sum(0)
             cjk = "㐀" <= ch <= "鿿"
             self.info[i] = (len(g), len(tok) > 1 and not ch.isupper() and not cjk, len(tok) > 1 and tok.isupper(), cjk, not cjk, 0)
@@ -134,7 +134,7 @@ def fit(texts: list[str], labels: list[str], langs: list[str]) -> Model:
                 words[at[x]].update(w.lower() for w in TOKEN.findall(t) if w[0].isalpha())
         out = np.zeros((len(langs), DIM), np.float32)
         for i, c in enumerate(words):
-            g = [grams(w[:64]) for w in c]
+            g = [grams(w) for w in c]
             if g:
                 np.add.at(out[i], np.concatenate(g), np.repeat(np.minimum(np.fromiter(c.values(), np.float32, len(c)), 1e6), [len(x) for x in g]))
         return out

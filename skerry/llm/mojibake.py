@@ -4,7 +4,7 @@ A noisy channel: the source is the corpus, as counts of its units (runs of lette
 one character outside ASCII, or such characters alone) and of the words beside short units; the
 channel writes the true text in one encoding and reads it in another, and may lose bytes. For each
 unit every pair of encodings is undone on a lattice of bytes, in which a replacement character
-stands for any byte; a Viterbi search over the units of a text chooses between leaving a unit as it
+stands for any byte, however many there are; a Viterbi search over the units of a text chooses between leaving a unit as it
 is and undoing a pair, with a cost for changing the pair, so a stretch is restored by one of them.
 
 The counts cover all texts. Only units of a relative frequency above ``PHI`` are kept, so at most
@@ -16,10 +16,12 @@ are, restorable or not; repeated rows count once; texts are searched whole.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +33,13 @@ UNIT = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
 PIECE = re.compile(r"[^\W\d_]+|.", re.S)
 CJK = re.compile(r"[㐀-鿿豈-﫿]")
 BAD = re.compile(r"[�\x80-\x84\x86-\x9f]")
-LEFT = re.compile(r"([A-Za-z]+|\S)?(\s?)$")
 RIGHT = re.compile(r"(\s?)([A-Za-z]+|\S)?")
 LOST = "�"
+#: Characters of the longest word. A longer unit is a run of signs without blanks, mostly garbled Chinese; it is searched
+#: like any other, but it and its parts teach nothing about words.
+WORD = 40
+#: Readings of a byte lattice, the best by their characters, that are compared as units.
+NBEST = 64
 
 READ_AS = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8_r", "gb18030")
 WRITTEN = ("utf-8", "cp1252", "cp1251", "mac_roman", "cp850", "cp437", "cp866", "koi8_r", "gb18030", "big5")
@@ -96,6 +102,19 @@ class Source:
         self.unknown = math.log(self.floor / self.total) - 4
         self.bad: dict[str, bool] = {}
         self.chars = {ch for u, n in self.n["u"].items() if n >= 4 * self.floor for ch in u}
+        seen: Counter = Counter()
+        for kind in "uc":
+            for u, n in self.n[kind].items():
+                for ch in u:
+                    if not ch.isascii() and not BAD.match(ch):
+                        seen[ch] += n
+        every = max(1, sum(seen.values()))
+        self.charp = {ch: math.log(n / every) for ch, n in seen.items()}
+        self.by_len: dict[int, list[tuple[float, str, bytes]]] = defaultdict(list)
+        for ch, lp in self.charp.items():
+            self.by_len[len(ch.encode())].append((lp, ch, ch.encode()))
+        self.by_bytes: dict[int, tuple[list[str], np.ndarray]] = {}
+        self.fits: dict[tuple, list[tuple[float, str]]] = {}
         self.beside: dict[str, dict[str, int]] = defaultdict(dict)
         for key, n in self.n["l"].items():
             left, u = key.split("\t", 1)
@@ -158,28 +177,58 @@ class Source:
         return score
 
     def decode(self, data: list[int | None], codec: str) -> str | None:
-        """The likeliest text of a byte lattice; lost bytes are tried in turn, the best few kept."""
+        """The likeliest text of a byte lattice. Without lost bytes there is but one; else, of the units of the corpus that
+        fit and of the texts that are best by their characters, the best as a unit."""
         if None not in data:
             try:
                 return bytes(data).decode(codec)
             except UnicodeDecodeError:
                 return None
-        beam = [data]
-        for _ in range(data.count(None)):
-            nxt = []
-            for d in beam:
-                i = d.index(None)
-                for b in range(0x80, 0xC0) if codec == "utf-8" else range(0x80, 0x100):
-                    e = d[:i] + [b] + d[i + 1 :]
-                    try:
-                        s = bytes(x for x in e if x is not None).decode(codec)
-                    except UnicodeDecodeError:
-                        continue
-                    nxt.append((self.logp(s), e))
-            if not nxt:
-                return None
-            beam = [e for _, e in sorted(nxt, key=lambda x: -x[0])[:4]]
-        return bytes(beam[0]).decode(codec)
+        texts = [*self.fitting(data), *self.lattice(tuple(data))]
+        return max(texts, key=lambda s: (self.logp(s), s)) if texts else None
+
+    def fitting(self, data: list[int | None]) -> list[str]:
+        """Units of the corpus whose bytes fit."""
+        if not self.by_bytes:
+            of: dict[int, list[str]] = defaultdict(list)
+            for u in self.n["u"]:
+                if not BAD.search(u):
+                    of[len(u.encode())].append(u)
+            self.by_bytes = {n: (us, np.frombuffer("".join(us).encode(), np.uint8).reshape(len(us), n)) for n, us in of.items()} or {0: ([], np.zeros((0, 0), np.uint8))}
+        us, m = self.by_bytes.get(len(data), ([], np.zeros((0, len(data)), np.uint8)))
+        at = [i for i, b in enumerate(data) if b is not None]
+        return [us[i] for i in np.flatnonzero((m[:, at] == np.array([data[i] for i in at], np.uint8)).all(1))] if us else []
+
+    def lattice(self, data: tuple) -> list[str]:
+        """The ``NBEST`` likeliest readings of bytes as UTF-8, by a Viterbi search over their places: a character ends at a
+        place and begins one to four bytes before, lost bytes are filled by the characters of the corpus."""
+        best: list[list[tuple[float, str]]] = [[(0.0, "")]] + [[] for _ in data]
+        for end in range(1, len(data) + 1):
+            here: list[tuple[float, str]] = []
+            for n in range(1, min(4, end) + 1):
+                before = best[end - n]
+                if before:
+                    for p, ch in self.filled(data[end - n : end]):
+                        here += [(q + p, t + ch) for q, t in before]
+            best[end] = heapq.nlargest(NBEST, here)
+        return [t for _, t in best[-1]]
+
+    def filled(self, part: tuple) -> list[tuple[float, str]]:
+        """Characters whose bytes fit, with their log probabilities."""
+        if part not in self.fits:
+            lead = part[0]
+            if None not in part:
+                try:
+                    ch = bytes(part).decode("utf-8")
+                except UnicodeDecodeError:
+                    ch = ""
+                out = [(self.charp.get(ch, self.unknown), ch)] if len(ch) == 1 else []
+            elif lead is not None and not (0xC0 <= lead < 0xF8 and len(part) == (lead >= 0xC0) + 1 + (lead >= 0xE0) + (lead >= 0xF0)):
+                out = []
+            else:
+                out = [(p, ch) for p, ch, code in self.by_len.get(len(part), ()) if len(part) > 1 and all(a is None or a == b for a, b in zip(part, code))]
+            self.fits[part] = out
+        return self.fits[part]
 
     def readings(self, unit: str) -> tuple[float, list[tuple[str, str, float]]]:
         """Own score, and ``(pair, text, score)`` of every way to undo a wrong reading."""
@@ -190,7 +239,7 @@ class Source:
             data = unread(unit, y)
             if data is None or (y == "gb18030" and not CJK.search(unit)):
                 continue
-            if None in data and (y not in LOSSY or data.count(None) > 3):
+            if None in data and y not in LOSSY:
                 continue
             for x in WRITTEN if None not in data else WRITTEN[:1]:
                 if x == y or (x == "gb18030" and len(unit) < 4):
@@ -216,10 +265,10 @@ class Source:
             n, alt = self.mask.get(unit, (0, ""))
             if n:
                 out.append(("lost", alt, self.logp(alt) + 2))
-        best = sorted(out, key=lambda r: -r[2])[:12]
+        best = sorted(out, key=lambda r: -r[2])
         if len(self.cache) > 300_000:
             self.cache.clear()
-        if len(unit) <= 40:
+        if len(unit) <= WORD:  # longer ones seldom come again; they are worked out anew
             self.cache[unit] = own, best
         return own, best
 
@@ -240,10 +289,15 @@ class Source:
 
 
 def context(text: str, start: int, end: int) -> tuple[str, str]:
-    a = LEFT.search(text[max(0, start - 16) : start])
-    b = RIGHT.match(text[end : end + 16])
+    """The words or signs on both sides of a unit, with the blank between."""
+    i = start - (start > 0 and text[start - 1].isspace())
+    j = i
+    while j and text[j - 1].isascii() and text[j - 1].isalpha():
+        j -= 1
+    left = text[j:i] or (text[i - 1] if i and not text[i - 1].isspace() else "")
+    b = RIGHT.match(text, end)
     norm = lambda w: "0" if w and w.isdigit() else (w or "").lower()
-    return norm(a[1]) + a[2], b[1] + norm(b[2])
+    return norm(left) + text[i:start], b[1] + norm(b[2])
 
 
 def repair(text: str, src: Source) -> tuple[str, str, float] | None:
@@ -307,7 +361,7 @@ def count_units(texts) -> Counter:
             u = m[0]
             if len(u) > 2 and CJK.search(u):
                 n.update(("c", ch) for ch in u)
-            elif len(u) <= 40:
+            elif len(u) <= WORD:
                 n["u", u] += 1
                 if len(u) <= 2:
                     a, b = context(t, m.start(), m.end())

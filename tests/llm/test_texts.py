@@ -245,3 +245,16 @@ def test_mail_without_pages_is_repaired_whole(spark):
     pas = spark.createDataFrame([(f"m#{i}", "mail", None, "The tenant kept the key. " * 3) for i in range(300)] + [("n#0", None, None, "The key.")], "passage_id string, path string, page int, text string")
     got = scans.repaired(df, pas).collect()
     assert len(got) == 302 and sum(r.path == "mail" and r.page is None for r in got) == 300
+
+
+def test_many_lost_bytes_are_searched():
+    rows = [("u", w, 50) for w in ("счётчика", "получат", "показания", "ключ")] + [("c", ch, 50) for ch in "我们同意由司机在截止日期之前核对修改后的预算"]
+    src = mojibake.Source(rows, 2)
+    for word, lost in (("показания", 6), ("我们同意由司机在截止日期之前", 7)):
+        data = list(word.encode())
+        for i in range(lost):
+            data[2 * i + 1 if word[0] < "我" else 3 * i + 2] = None
+        got = src.decode(data, "utf-8")
+        assert got is not None and len(got) == len(word) and got[lost:] == word[lost:] and (got == word or word[0] == "我")
+    assert src.decode([0xFF, None], "utf-8") is None and src.decode([], "utf-8") == ""
+    assert mojibake.context("abc" * 30 + " é x", 91, 92) == ("abc" * 30 + " ", " x")
