@@ -34,7 +34,7 @@ BITS, DIM, FIT_ROWS = 15, 1 << 16, 10_000
 TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+|[.!?…]+(?=[\"”’»)\]]*(?:\s|$))|[。！？]+|\n+")
 END, LINE = 1, 2  # kinds of breaks: sentence end, line end
 #: Of a full sentence: words, of which in small letters (or all in capitals) and no single letters; Chinese characters.
-MIN_WORDS, MIN_SMALL, MIN_CJK = 6, 4, 8
+MIN_WORDS, MIN_SMALL, MIN_CJK = 4, 3, 6
 #: A phrase in quotation marks without a sentence end: words named within a sentence, whatever their language.
 QUOTED = re.compile(r"[\"“„«‹‘][^\"“”„«»‹›‘.!?。！？\n]+[\"”“»›’]")
 SUSPECT = re.compile(r"[�\x80-\x84\x86-\x9f]|[ÃÂâÐÑ][^\sa-zA-Z,.]|[À-ÿ]{3,}|[─-╿]|[ЂЃЉЊЌЋЏђѓљњќћџЎў]|[a-z][А-я]|[А-я][a-z]|[а-я][А-Я]|[-]|[銆鐨涓鏄]")

@@ -258,3 +258,9 @@ def test_many_lost_bytes_are_searched():
         assert got is not None and len(got) == len(word) and got[lost:] == word[lost:] and (got == word or word[0] == "我")
     assert src.decode([0xFF, None], "utf-8") is None and src.decode([], "utf-8") == ""
     assert mojibake.context("abc" * 30 + " é x", 91, 92) == ("abc" * 30 + " ", " x")
+
+
+def test_short_sentences_are_full_ones():
+    m = langid.Model(["de", "en"], np.ones((2, langid.DIM), np.float32))
+    full = m.segments(["Wir prüfen morgen alles. Ja. Nein danke.", "我们同意了这个。好。", "AB-12 CD-34 EF", "The " + "very" * 40 + " long word stays."])[5]
+    assert full.tolist() == [True, False, False, True, False, False, True]
