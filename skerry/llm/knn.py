@@ -4,9 +4,13 @@ An inverted multi-index: each half of the unit vectors is quantised by its own c
 centroids a half give ``K * K`` cells. A query walks the pairs of centroids by summed distance with
 a heap until the cells it has met hold enough vectors, the vectors of those cells are compared
 exactly, and the best ``k`` of each cell are merged. ``K`` grows with the square root of the number
-of vectors, so a cell holds about as many of them, and a query meets about as many cells, at any
-size. Codebooks are fitted on a bounded sample (``FIT_ROWS`` vectors of a model); every vector is
-indexed and every one is a query.
+of vectors, so a cell holds about as many of them at any size. Codebooks are fitted on a bounded
+sample (``FIT_ROWS`` vectors of a model); every vector is indexed and every one is a query.
+
+How many vectors are enough is measured on the table itself: the nearest neighbours of ``TRIED``
+vectors of each model are found by brute force, in one pass over all vectors, and enough is what
+they have to meet for the recall asked for. So recall doesn't sink as the table grows. ``exact``
+meets all cells instead.
 
 Equal vectors are one entry of the index, with their ``k + 1`` smallest keys: more can't be among
 the ``k`` nearest of any vector. A cell with many entries is compared in salted blocks of at most
@@ -28,9 +32,11 @@ from pyspark.sql import functions as F
 from skerry.tables import cut, table
 
 FIT_ROWS = 20_000
-#: Vectors of a cell, vectors a query meets, entries compared at once. Measured on 101,089 vectors of 64 dimensions,
-#: recall at 10 is 0.80 with 8,000 met; of neighbours with a similarity of 0.9 or more it is 0.999.
-CELL, ENOUGH, ENOUGH_NEAR, BLOCK = 400, 24_000, 8_000, 4_096
+#: Vectors of a cell, entries compared at once, centroids of a half at most (with more than ``CELL * MOST ** 2`` vectors of a
+#: model, 4 billion, cells grow beyond ``CELL``), vectors of a model that enough is measured on.
+CELL, BLOCK, MOST, TRIED = 4_000, 4_096, 1_024, 256
+#: Recall aimed at for all neighbours, and for those of a least similarity.
+RECALL, RECALL_NEAR = 0.95, 1.0
 
 
 def usable(df: DataFrame, key: str = "key", model: str = "model", dim: str = "dim", vec: str = "vec") -> DataFrame:
@@ -82,9 +88,19 @@ def walk(da: np.ndarray, db: np.ndarray, sizes: np.ndarray, enough: int) -> list
     return out
 
 
-def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, enough: int = ENOUGH, **cols: str) -> DataFrame:
+def needed(q: np.ndarray, cells: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many vectors a walk from the queries ``q`` meets before it is through with the ``cells``, one a query."""
+    h = q.shape[1] // 2
+    out = np.zeros(len(q))
+    for i, (x, c) in enumerate(zip(q, cells)):
+        d = ((a * a).sum(1) - 2 * a @ x[:h])[:, None] + ((b * b).sum(1) - 2 * b @ x[h:])[None, :]
+        out[i] = sizes.reshape(d.shape)[d <= d.flat[c]].sum()
+    return out
+
+
+def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, enough: int | None = None, exact: bool = False, **cols: str) -> DataFrame:
     """``model, key, neighbour, sim, rank``; with ``min_sim`` only neighbours at least that similar.
-    ``enough`` is the number of vectors a query meets."""
+    ``enough`` is the number of vectors a query meets, by default as measured; ``exact``: all of them."""
     spark = df.sparkSession
     raw = usable(df, **cols)
     bits = F.xxhash64("vec")
@@ -99,9 +115,9 @@ def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, enough: int =
             by_dim.setdefault(len(v), []).append(v)
         for d, v in by_dim.items():
             x = np.array(v, np.float32)
-            kk = int(max(1, min(256, round((n / CELL) ** 0.5))))
+            kk = int(max(1, min(MOST, round((n / CELL) ** 0.5))))
             books[(m, d)] = (kmeans(x[:, : d // 2], kk) if d > 1 else np.zeros((1, 0), np.float32), kmeans(x[:, d // 2 :], kk))
-    given = spark.sparkContext.broadcast(books)  # at most 256 centroids a half
+    given = spark.sparkContext.broadcast(books)  # at most MOST centroids a half
 
     def halves(m, v):
         a, b = given.value[(m, v.shape[1])]
@@ -128,18 +144,55 @@ def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, enough: int =
 
     placed = cut(entries.mapInArrow(assign, "model string, dim int, cell int, id bigint, vec array<float>, keys array<string>"))
     sizes = {}
-    for r in placed.groupBy("model", "dim", "cell").agg(F.count("*").alias("n")).collect():  # at most 256 * 256 cells a model
+    for r in placed.groupBy("model", "dim", "cell").agg(F.count("*").alias("n")).collect():  # at most MOST * MOST cells a model
         a, b = books[(r.model, r.dim)]
         sizes.setdefault((r.model, r.dim), np.zeros(len(a) * len(b), np.int64))[r.cell] = r.n
     load = spark.sparkContext.broadcast(sizes)
 
+    def measured() -> dict:
+        """Enough, by model and dimension."""
+        if exact or enough is not None:
+            return {key: int(sizes[key].sum()) if exact else enough for key in sizes}
+        tried = {}
+        for (m, d), n in sizes.items():
+            share = min(1_000_000, int(1_200_000 * TRIED / max(1, n.sum())) + 1)
+            rows = placed.filter((F.col("model") == m) & (F.col("dim") == d) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share)).select("id", "vec").limit(TRIED).collect()
+            tried[(m, d)] = np.array([r.id for r in rows], np.int64), np.array([r.vec for r in rows], np.float32).reshape(-1, d)
+        asked = spark.sparkContext.broadcast(tried)
+
+        def best(batches):
+            for b in batches:
+                for m, d, rows, v in blocks(b):
+                    ids, q = asked.value[(m, d)]
+                    s = q @ v.T
+                    s[ids[:, None] == b.column("id").to_numpy()[rows][None, :]] = -2
+                    top = np.argpartition(-s, k, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+                    sim = np.take_along_axis(s, top, 1)
+                    n, w = sim.size, top.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([m] * n, pa.string()), pa.array(np.full(n, d, np.int32)), pa.array(np.repeat(np.arange(len(ids)), w).astype(np.int32)), pa.array(b.column("cell").to_numpy()[rows][top].ravel()), pa.array(sim.ravel().astype(np.float32))],
+                        names=["model", "dim", "q", "cell", "sim"],
+                    )
+
+        near = placed.select("model", "id", "cell", "vec").mapInArrow(best, "model string, dim int, q int, cell int, sim float")
+        w = Window.partitionBy("model", "dim", "q").orderBy(F.desc("sim"))
+        got = near.withColumn("r", F.row_number().over(w)).filter((F.col("r") <= k) & (F.col("sim") >= F.lit(-1.5 if min_sim is None else min_sim))).toPandas()  # k rows of TRIED vectors a model
+        out = {}
+        for (m, d), n in sizes.items():
+            g = got[(got.model == m) & (got.dim == d)]
+            met = needed(tried[(m, d)][1][g.q.to_numpy()], g.cell.to_numpy(), *books[(m, d)], n) if len(g) else np.zeros(1)
+            out[(m, d)] = int(max(np.quantile(met, RECALL if min_sim is None else RECALL_NEAR), 4 * CELL))
+        return out
+
+    fill = measured()
+
     def probe(batches):
         for b in batches:
             for m, d, rows, v in blocks(b):
                 da, db = halves(m, v)
                 n = load.value[(m, d)]
                 for lo in range(0, len(rows), 500):
-                    cells = [walk(x, y, n, enough) for x, y in zip(da[lo : lo + 500], db[lo : lo + 500])]
+                    cells = [walk(x, y, n, fill[(m, d)]) for x, y in zip(da[lo : lo + 500], db[lo : lo + 500])]
                     t = b.take(pa.array(np.repeat(rows[lo : lo + 500], [len(c) for c in cells])))
                     yield pa.RecordBatch.from_arrays([t.column("model"), pa.array(np.full(t.num_rows, d, np.int32)), pa.array(np.concatenate(cells).astype(np.int32)), t.column("id"), t.column("vec")], names=["model", "dim", "cell", "qid", "qvec"])
 
@@ -166,6 +219,10 @@ def knn(df: DataFrame, k: int = 10, min_sim: float | None = None, enough: int =
                 part = q.slice(lo, 1000)
                 qid = part.column("qid").to_numpy()
                 s = matrix(part, "qvec") @ v.T
+                if min_sim is not None:
+                    # Few are as similar as that: only rows with such neighbours are ranked.
+                    some = (s >= floor).any(axis=1)
+                    s, qid = s[some], qid[some]
                 top = np.argpartition(-s, k, axis=1)[:, : k + 1] if s.shape[1] > k + 1 else np.broadcast_to(np.arange(s.shape[1]), s.shape)
                 best = np.take_along_axis(s, top, 1)
                 got = ids[top]
@@ -201,4 +258,4 @@ def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutual(knn(table(spark, sf_dir, "emb"), k=10, min_sim=0.9, enough=ENOUGH_NEAR), 0.9)
+    return mutual(knn(table(spark, sf_dir, "emb"), k=10, min_sim=0.9), 0.9)

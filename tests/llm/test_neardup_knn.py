@@ -141,3 +141,28 @@ def test_walk_goes_by_summed_distance():
     got = knn.walk(da, db, np.ones(63, np.int64), 63)
     sums = [da[c // 7] + db[c % 7] for c in got]
     assert sorted(got) == list(range(63)) and sums == sorted(sums)
+
+
+def test_enough_is_measured_or_all(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 20)
+    monkeypatch.setattr(knn, "TRIED", 60)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"k{i:03d}", "m", 12, [float(v) for v in r]) for i, r in enumerate(x)], "key string, model string, dim int, vec array<float>")
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = {f"k{i:03d}": {f"k{j:03d}" for j in np.argsort(-s[i])[:5]} for i in range(600)}
+    for exact, least in ((True, 1.0), (False, 0.9)):
+        got: dict[str, set] = {}
+        for r in knn.knn(df, k=5, exact=exact).collect():
+            got.setdefault(r.key, set()).add(r.neighbour)
+        assert np.mean([len(got[k] & want[k]) / 5 for k in want]) >= least
+    a, b = rng.normal(size=(3, 6)).astype(np.float32), rng.normal(size=(4, 6)).astype(np.float32)
+    sizes = np.arange(12)
+    cells = np.array([5, 11])
+    q = x[:2].astype(np.float32)
+    for v, c, n in zip(q, cells, knn.needed(q, cells, a, b, sizes)):
+        da, db = (((y * y).sum(1) - 2 * y @ h) for y, h in ((a, v[:6]), (b, v[6:])))
+        w = knn.walk(da, db, np.maximum(sizes, 1), 10**9)
+        assert n == sizes[w[: w.index(c) + 1]].sum()
