@@ -75,6 +75,8 @@ def distinct_rows(df: DataFrame, key: str) -> DataFrame:
     """``df.distinct()`` for rows that are told apart by ``key`` but for repeated ones: only the keys and the rows of
     repeated keys are shuffled, not the texts of all others. Null keys count as repeated."""
     again = cut(df.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("again")))
+    if again.isEmpty():
+        return df
     few = small(again)
     if few is again:
         return df.distinct()
