@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from skerry.tables import distinct_rows, table
+
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Character classes. A1 and A2 are an apostrophe before one or two letters of a contraction.
@@ -236,7 +238,7 @@ def encode_texts(texts: list[str | None], cache: PieceCache, most: int = 2_000_0
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = DEFAULT_VOCAB, offsets: bool = False) -> DataFrame:
     """One row per distinct (id, text): ``id_col, ids array<int>`` and, if asked for, ``starts array<int>``.
 
-    Repeated rows are dropped before encoding; all else is one narrow pass.
+    Repeated rows are dropped before encoding, by their ids; all else is one narrow pass.
     """
     spark = df.sparkSession
     data = spark.sparkContext.broadcast(open(vocab, "rb").read())  # a fixed file of under 2 MB
@@ -255,7 +257,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "ids", "starts"][: len(cols)])
 
     schema = f"`{id_col}` {kind}, ids array<int>" + (", starts array<int>" if offsets else "")
-    return df.select(id_col, text_col).distinct().mapInArrow(run, schema)
+    return distinct_rows(df.select(id_col, text_col), id_col).mapInArrow(run, schema)
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = DEFAULT_VOCAB) -> DataFrame:
@@ -279,6 +281,4 @@ def decode(ids, ranks: dict[bytes, int]) -> str:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skerry.tables import table
-
     return encode(table(spark, sf_dir, "documents"))
