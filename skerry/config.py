@@ -26,7 +26,6 @@ class Chunk:
 class Ingest:
     ocr: bool = False
     ocr_min_chars: int = 16
-    workers: int | None = None
 
 
 @dataclass(frozen=True)

