@@ -34,7 +34,8 @@ BITS, DIM, FIT_ROWS = 15, 1 << 16, 10_000
 TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+|[.!?…]+(?=[\"”’»)\]]*(?:\s|$))|[。！？]+|\n+")
 END, LINE = 1, 2  # kinds of breaks: sentence end, line end
 #: Of a full sentence: words, of which in small letters (or all in capitals) and no single letters; Chinese characters.
-MIN_WORDS, MIN_SMALL, MIN_CJK = 4, 3, 6
+#: A sentence of fewer words, from ``SHORT`` on, has but one that isn't in small letters: what has more is mostly names.
+MIN_WORDS, MIN_SMALL, MIN_CJK, SHORT = 6, 4, 6, 4
 #: A phrase in quotation marks without a sentence end: words named within a sentence, whatever their language.
 QUOTED = re.compile(r"[\"“„«‹‘][^\"“”„«»‹›‘.!?。！？\n]+[\"”“»›’]")
 SUSPECT = re.compile(r"[�\x80-\x84\x86-\x9f]|[ÃÂâÐÑ][^\sa-zA-Z,.]|[À-ÿ]{3,}|[─-╿]|[ЂЃЉЊЌЋЏђѓљњќћџЎў]|[a-z][А-я]|[А-я][a-z]|[а-я][А-Я]|[-]|[銆鐨涓鏄]")
@@ -119,7 +120,7 @@ class Model:
         lang = order[:, 0]
         p = np.exp(loss.min(1, keepdims=True) - loss)
         conf = 1 / p.sum(1)
-        full = (info[last, 5] == END) & ((s[:, 4] >= MIN_WORDS) & ((s[:, 1] >= MIN_SMALL) | (s[:, 2] >= MIN_WORDS)) | (s[:, 3] >= MIN_CJK))
+        full = (info[last, 5] == END) & ((s[:, 4] >= MIN_WORDS) & ((s[:, 1] >= MIN_SMALL) | (s[:, 2] >= MIN_WORDS)) | (s[:, 4] >= SHORT) & (s[:, 1] >= s[:, 4] - 1) | (s[:, 3] >= MIN_CJK))
         conf[s[:, 0] == 0] = 0
         return doc[at], at, last, lang, conf, full
 
